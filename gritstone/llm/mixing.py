@@ -76,24 +76,28 @@ def closest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.n
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length come closest to ``budget`` tokens without exceeding it.
+    """How many documents of each of the ascending lengths come closest to ``budget`` tokens without exceeding it.
 
-    Lengths come in a seeded order, and each gives what brings the tokens so far nearest to its share from below, so
-    the choice follows the lengths' distribution even where each has one document. The last ``window`` tokens, an
-    eighth of the budget at most, and what rounding left, are for the knapsack."""
+    The share of every length is carried on to the next where it isn't whole, from a seeded start, so at any length
+    the documents taken so far are within one of their share: no length is favoured, even where each has one
+    document. The last ``window`` tokens, an eighth of the budget at most, and what rounding left, are for the
+    knapsack, which tries lengths in a seeded order."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    order = np.random.Generator(np.random.PCG64(seed)).permutation(len(lengths))
-    share, given, due = (budget - min(window, budget // 8)) / total, 0, 0.0
-    take = np.zeros(len(lengths), np.int64)
-    for i in order:
-        n, c = int(lengths[i]), int(counts[i])
-        due += share * n * c
-        take[i] = min(c, int((due - given) // n))
-        given += n * int(take[i])
-    left = counts - take
-    take[order] += closest_subset(lengths[order], left[order], budget - given)
+    r = np.random.Generator(np.random.PCG64(seed))
+    share = (budget - min(window, budget // 8)) / total
+    ends = np.floor(np.cumsum(counts) * share + r.random()).astype(np.int64)
+    take = np.minimum(np.diff(ends, prepend=0), counts)
+    left = budget - int((lengths * take).sum())
+    for i in range(len(lengths) - 1, -1, -1):  # only where a document is longer than the window
+        if left >= 0:
+            break
+        less = min(int(take[i]), -(left // int(lengths[i])))
+        take[i] -= less
+        left += less * int(lengths[i])
+    order = r.permutation(len(lengths))
+    take[order] += closest_subset(lengths[order], (counts - take)[order], left)
     return take
 
 
