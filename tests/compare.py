@@ -1,12 +1,21 @@
 """Order-insensitive comparison of Spark and DuckDB results."""
 
+import numbers
+
+import pandas as pd
+
+
+def _value(v):
+    if pd.isna(v):
+        return None
+    if isinstance(v, numbers.Number) and not isinstance(v, bool):
+        return float(v)
+    return str(v)
+
 
 def canonical(frame):
     columns = sorted(frame.columns)
-    out = []
-    for row in frame[columns].itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
-    return columns, sorted(out, key=repr)
+    return columns, sorted((tuple(map(_value, row)) for row in frame[columns].itertuples(index=False)), key=repr)
 
 
 def assert_same(spark_frame, duck_frame):
