@@ -92,7 +92,7 @@ class Ordinal:
         return logistic(score[:, None] - self.thresholds[None, :])
 
 
-def fit(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate: float = 0.4, shrink: float = 2e-6) -> Ordinal:
+def fit(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate: float = 0.4, shrink: float = 1e-5) -> Ordinal:
     """Full-batch Adam on the mean negative log likelihood. Thresholds start at the grades' smoothed shares and stay ordered through logarithms of their gaps."""
     n = len(grade)
     share = (np.bincount(grade, minlength=grades) + 0.5) / (n + 0.5 * grades)
