@@ -150,7 +150,7 @@ def rule(body, depth: int = 0) -> dict:
     if isinstance(body, list):
         out: dict = {}
         for item in _list("where", body):
-            out = merge(out, rule(item, depth + 1))
+            out = merge(out, rule(item, depth))
         return out
     if not isinstance(body, dict) or not body:
         raise TemplateError(f"expected matchers, found {body!r}")
