@@ -20,11 +20,13 @@ removed all the same. Other columns than the four aren't read. No rows in, no ro
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import stored, table
+from gritstone.llm.common import arrow_batches, stored, table
 
 _QUOTE = r"^[ \t]*(>[ \t]?)*"
 
@@ -77,25 +79,34 @@ def linked(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", F.coalesce("source", previous).alias("parent_turn"), "role", text.alias("text"), F.coalesce("quoted_links", F.lit(0)).alias("quoted_links"))
 
 
-def reply_order(part: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first places and depths of one conversation's messages, without recursion."""
+def reply_order(turns: list[int], parents: list[int | None]) -> Iterator[tuple[int, int, int]]:
+    """(turn, depth-first place, depth) of one conversation's messages, without recursion."""
     children: dict[int | None, list[int]] = {}
-    for turn, parent in zip(part["turn"].tolist(), part["parent_turn"].tolist(), strict=True):
-        children.setdefault(None if pd.isna(parent) else int(parent), []).append(int(turn))
-    out, stack = [], [(t, 0) for t in sorted(children.get(None, []), reverse=True)]
+    for turn, parent in zip(turns, parents, strict=True):
+        children.setdefault(parent, []).append(turn)
+    stack, place = [(t, 0) for t in sorted(children.get(None, []), reverse=True)], 0
     while stack:
         turn, depth = stack.pop()
-        out.append((turn, len(out), depth))
+        yield turn, place, depth
+        place += 1
         stack.extend((t, depth + 1) for t in sorted(children.get(turn, []), reverse=True))
-    turns, places, depths = zip(*out, strict=True)
-    return pd.DataFrame({"conv_id": part["conv_id"].iloc[0], "turn": turns, "position": places, "depth": depths})
 
 
 def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, position, depth, turn, parent_turn, role, text, quoted_links: every message, in reply order by position."""
     whole = stored(linked(messages), "linked")
-    # Only numbers go through Python; texts stay where they are.
-    order = whole.select("conv_id", "turn", "parent_turn").groupBy("conv_id").applyInPandas(reply_order, "conv_id bigint, turn bigint, position int, depth int")
+
+    def order_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv, members in zip(batch.column("conv_id").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                out.extend((conv, *x) for x in reply_order([m["turn"] for m in members], [m["parent_turn"] for m in members]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["conv_id", "turn", "position", "depth"])
+
+    # Only numbers go through Python, many conversations at a time; texts stay where they are.
+    trees = whole.select("conv_id", "turn", "parent_turn").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "parent_turn")).alias("m"))
+    order = arrow_batches(trees, order_of, "conv_id bigint, turn bigint, position int, depth int")
     return whole.join(order, ["conv_id", "turn"]).select("conv_id", "position", "depth", "turn", "parent_turn", "role", "text", "quoted_links")
 
 
