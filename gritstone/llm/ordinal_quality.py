@@ -5,6 +5,10 @@ and ordered thresholds cut its score. Features are words, runs of punctuation, w
 repeat the one before, hashed to 2**18 places, with sublinear counts and unit length. The expected grade orders
 documents; the tail probability P(grade >= top) selects them.
 
+One more feature doesn't fade as a text grows: the strength of its strongest marker. A marker is a word that significantly
+more rated documents of the grade below the top hold than of the top; its strength is the logarithm of how many times
+as likely they hold it. Markers are told apart by their whole 64-bit hashes.
+
 The model is fitted on at most ``FIT_ROWS`` rated documents (those with the lowest hash of their doc_id), on the
 driver; every document is scored where it lies, with no shuffle.
 
@@ -18,7 +22,7 @@ grade. Repeated rows get equal scores and are all selected or all rejected. Only
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,12 @@ from pyspark.sql import functions as F
 from gritstone.llm import kernels
 from gritstone.llm.common import arrow_batches, keyed, table
 
-BUCKETS, FIT_ROWS, TOP, LEAST_TAIL = 1 << 18, 10_000, 2, 0.3
+BUCKETS, FIT_ROWS, TOP, LEAST_TAIL = 1 << 18, 10_000, 2, 0.4
+#: LEAST_TAIL is the highest tenth that keeps 99 % of clean documents held out of sf0.1 (three folds together, by doc_id % 3).
 #: A feature counts only if so many rated documents have it: what fewer have would be learnt by heart.
 LEAST_DOCUMENTS = 3
+#: The likelihood ratio statistic from which a word is a marker, and what its strength is multiplied by as a feature, at the place after the hashed ones.
+LEAST_G2, MARKER_SCALE, MARKER = 15.0, 0.2, BUCKETS
 _CAPS, _ECHO, _LINE = (np.uint64(x) for x in (0x5A1D3C0B7F2E4961, 0x2C6B8A90E5D4F173, 0x71B5E09D3A86C42F))
 
 
@@ -49,10 +56,10 @@ LINES = np.arange(256, dtype=np.uint8)
 LINES[[0, 10, 13]] = 0
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (bounds, place, value): unit length, 1 + log count; a text without any token is an empty row."""
+def features(raw: np.ndarray, offsets: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (bounds, place, value): unit length, 1 + log count; a text without any token is an empty row. words: its runs of words, if they are known."""
     texts = len(offsets) - 1
-    word, at, size = kernels.runs(raw, offsets, kernels.FOLD)
+    word, at, size = kernels.runs(raw, offsets, kernels.FOLD) if words is None else words
     mark, mark_at, _ = kernels.runs(raw, offsets, PUNCT)
     upper = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90), dtype=np.int32)])
     loud = (size > 1) & ((upper[at + size] - upper[at]) * 5 >= size * 4)
@@ -69,23 +76,80 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return bounds, (key & (BUCKETS - 1)).astype(np.int32), (value / norm[row]).astype(np.float32)
 
 
-def text_features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``features`` of texts a megabyte at a time, as (first text, end, bounds, place, value)."""
+def text_words(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``features`` of texts a megabyte at a time, as (first text, end, bounds, place, value, words' hashes, their texts from the first)."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + kernels.WINDOW, "right")) - 1)
-        yield (a, b, *features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        part, cuts = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        words = kernels.runs(part, cuts, kernels.FOLD)
+        yield (a, b, *features(part, cuts, words), words[0], np.searchsorted(cuts, words[1], "right") - 1)
         a = b
 
 
+def text_features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``features`` of texts a megabyte at a time, as (first text, end, bounds, place, value)."""
+    for x in text_words(raw, offsets):
+        yield x[:5]
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
+@dataclass(frozen=True)
+class Markers:
+    """Hashes of words in order, and their strengths."""
+
+    word: np.ndarray
+    strength: np.ndarray
+
+    def strongest(self, word: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """Of each text the strength of its strongest marker times ``MARKER_SCALE``, 0 where it has none."""
+        out = np.zeros(texts)
+        if len(self.word):
+            place = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+            hit = np.flatnonzero(self.word[place] == word)
+            np.maximum.at(out, text[hit], self.strength[place[hit]] * MARKER_SCALE)
+        return out
+
+
+NO_MARKERS = Markers(np.zeros(0, np.uint64), np.zeros(0))
+
+
+def _x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def markers(word: np.ndarray, grade: np.ndarray, documents: np.ndarray) -> Markers:
+    """word, grade: a row for each distinct word of each document; documents: how many each grade has. The last two grades are compared."""
+    n = documents[-2:].astype(float)
+    if n.min() == 0:
+        return NO_MARKERS
+    top = len(documents) - 1
+    of_two = grade >= top - 1
+    words, column = np.unique(word[of_two], return_inverse=True)
+    below = np.bincount(column, weights=grade[of_two] < top, minlength=len(words))
+    above = np.bincount(column, minlength=len(words)) - below
+    parts = _x_log_x(below) + _x_log_x(above) + _x_log_x(n[0] - below) + _x_log_x(n[1] - above)
+    g2 = 2 * (parts - _x_log_x(below + above) - _x_log_x(n.sum() - below - above) - _x_log_x(n).sum() + _x_log_x(n.sum()))
+    strength = np.log((below + 0.5) / (n[0] + 1)) - np.log((above + 0.5) / (n[1] + 1))
+    marks = (g2 >= LEAST_G2) & (strength > 0) & (below >= LEAST_DOCUMENTS)
+    return Markers(words[marks], strength[marks])
+
+
+def with_markers(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, strongest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows with the strongest marker as a last feature of those that have one."""
+    some = np.flatnonzero(strongest)
+    ends = bounds[some + 1]
+    return bounds + np.concatenate([[0], np.cumsum(strongest > 0)]), np.insert(place, ends, MARKER), np.insert(value.astype(float), ends, strongest[some])
+
+
 @dataclass(frozen=True)
 class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
+    markers: Markers = NO_MARKERS
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. in columns."""
@@ -98,7 +162,7 @@ def fit(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndar
     share = (np.bincount(grade, minlength=grades) + 0.5) / (n + 0.5 * grades)
     cut = np.log(np.cumsum(share)[:-1] / (1 - np.cumsum(share)[:-1]))
     free = np.concatenate([cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
-    common = np.bincount(place, minlength=BUCKETS)[place] >= LEAST_DOCUMENTS
+    common = np.bincount(place)[place] >= LEAST_DOCUMENTS
     row = np.repeat(np.arange(n), np.diff(bounds))[common]
     value = value[common]
     used, column = np.unique(place[common], return_inverse=True)
@@ -124,7 +188,7 @@ def fit(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndar
         move = rate * (1 - step / (steps + 1)) * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-9)
         w -= move[: len(used)]
         free -= move[len(used) :]
-    weights = np.zeros(BUCKETS)
+    weights = np.zeros(BUCKETS + 1)
     weights[used] = w
     return Ordinal(weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
@@ -143,19 +207,28 @@ def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, grades:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = kernels.buffers(batch.column("text"))
-            for a, b, bounds, place, value in text_features(raw, off):
+            for a, b, bounds, place, value, word, text in text_words(raw, off):
                 cut = bounds.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grade").slice(a, b - a), pa.ListArray.from_arrays(cut, place), pa.ListArray.from_arrays(cut, value)], ["doc_id", "grade", "place", "value"])
+                order = np.lexsort((word, text))
+                word, text = word[order].astype(np.int64), text[order]
+                new = np.ones(len(word), bool)
+                new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+                of = np.searchsorted(text[new], np.arange(b - a + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grade").slice(a, b - a), pa.ListArray.from_arrays(cut, place), pa.ListArray.from_arrays(cut, value), pa.ListArray.from_arrays(of, word[new])], ["doc_id", "grade", "place", "value", "words"])
 
     # The sample is bounded by fit_rows, so it may be broadcast.
     texts = keyed(docs, F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "grade", "text")
-    got = arrow_batches(texts, rows, "doc_id bigint, grade int, place array<int>, value array<float>").toArrow().combine_chunks()
+    got = arrow_batches(texts, rows, "doc_id bigint, grade int, place array<int>, value array<float>, words array<bigint>").toArrow().combine_chunks()
     if got.num_rows == 0:
         return None
     got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
-    place, value = (got.column(c).combine_chunks() for c in ("place", "value"))
-    order = (place.offsets.to_numpy() - place.offsets[0].as_py()).astype(np.int64)
-    return fit(order, place.flatten().to_numpy(), value.flatten().to_numpy().astype(float), got.column("grade").to_numpy(), grades)
+    place, value, words = (got.column(c).combine_chunks() for c in ("place", "value", "words"))
+    grade = got.column("grade").to_numpy()
+    order, of = ((x.offsets.to_numpy() - x.offsets[0].as_py()).astype(np.int64) for x in (place, words))
+    word, text = words.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(grade)), np.diff(of))
+    marks = markers(word, grade[text], np.bincount(grade, minlength=grades))
+    rows_of = with_markers(order, place.flatten().to_numpy(), value.flatten().to_numpy(), marks.strongest(word, text, len(grade)))
+    return replace(fit(*rows_of, grade, grades), markers=marks)
 
 
 def scores(docs: DataFrame, model: Ordinal | None, grades: int = TOP + 1) -> DataFrame:
@@ -166,12 +239,13 @@ def scores(docs: DataFrame, model: Ordinal | None, grades: int = TOP + 1) -> Dat
         for batch in batches:
             raw, off = kernels.buffers(batch.column("text").cast(pa.string()))
             expected, tail = np.zeros(len(batch)), np.zeros(len(batch))
-            for a, b, bounds, place, value in text_features(raw, off):
+            for a, b, bounds, place, value, word, text in text_words(raw, off):
                 some = np.flatnonzero(np.diff(bounds))
                 if model is None:
                     expected[a + some], tail[a + some] = grades - 1, 1.0
                 elif len(some):
-                    p = model.tails(np.add.reduceat(model.weights[place] * value, bounds[:-1][some]))
+                    marked = model.weights[MARKER] * model.markers.strongest(word, text, b - a)
+                    p = model.tails(np.add.reduceat(model.weights[place] * value, bounds[:-1][some]) + marked[some])
                     expected[a + some], tail[a + some] = p.sum(1), p[:, -1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*names, "__grade", "__tail"])
 
