@@ -35,6 +35,8 @@ class Rule:
 
 
 _BEFORE = "(?:^|[^A-Za-z0-9_])"
+#: What may follow a keyword in the name that a secret is assigned to; before the keyword anything may stand.
+_NAME = "[A-Za-z0-9_.-]*"
 RULES = (
     Rule("aws_access_key", 1, "AKIA|ASIA", _BEFORE + "((?:AKIA|ASIA)[A-Z0-9]{16})"),
     Rule("github_token", 1, "gh[pousr]_", _BEFORE + "(gh[pousr]_[A-Za-z0-9]{36,})"),
@@ -43,8 +45,8 @@ RULES = (
     Rule("payment_key", 1, "[rs]k_live_", _BEFORE + "([rs]k_live_[0-9A-Za-z]{16,})"),
     Rule("json_web_token", 1, "eyJ", _BEFORE + r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     Rule("private_key", 1, "PRIVATE KEY-----", "(-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY-----)"),
-    Rule("password", 1, "(?i:passw|pwd)", "(?i)" + _BEFORE + """(?:password|passwd|pwd)["']?[ \\t]*[:=][ \\t]*["']?([^ \\t\\r\\n"',;]{8,})"""),
-    Rule("keyed_token", 1, "(?i:token|secret|api.?key)", "(?i)" + _BEFORE + """(?:[a-z]+_)?(?:token|secret|api[_-]?key)["']?[ \\t]*[:=][ \\t]*["']?([A-Za-z0-9_/+=-]{16,})"""),
+    Rule("password", 3, "(?i:passw|pwd)", "(?i)(?:passw(?:or)?d|pwd)" + _NAME + """["']?[ \\t]*[:=][ \\t]*["']?([^ \\t\\r\\n"',;]{8,})"""),
+    Rule("keyed_token", 2, "(?i:token|secret|(?:api|access).?key)", "(?i)(?:token|secret|(?:api|access)[_.-]?key)" + _NAME + """["']?[ \\t]*[:=][ \\t]*["']?([A-Za-z0-9_/+=-]{16,})"""),
 )
 
 
