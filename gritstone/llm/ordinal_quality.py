@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gritstone.llm import kernels
 from gritstone.llm.common import arrow_batches, keyed, table
@@ -121,7 +122,7 @@ def _x_log_x(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def markers(word: np.ndarray, grade: np.ndarray, documents: np.ndarray) -> Markers:
+def markers(word: np.ndarray, grade: np.ndarray, documents: np.ndarray, least_documents: int = LEAST_DOCUMENTS) -> Markers:
     """word, grade: a row for each distinct word of each document; documents: how many each grade has. The last two grades are compared."""
     n = documents[-2:].astype(float)
     if n.min() == 0:
@@ -134,7 +135,7 @@ def markers(word: np.ndarray, grade: np.ndarray, documents: np.ndarray) -> Marke
     parts = _x_log_x(below) + _x_log_x(above) + _x_log_x(n[0] - below) + _x_log_x(n[1] - above)
     g2 = 2 * (parts - _x_log_x(below + above) - _x_log_x(n.sum() - below - above) - _x_log_x(n).sum() + _x_log_x(n.sum()))
     strength = np.log((below + 0.5) / (n[0] + 1)) - np.log((above + 0.5) / (n[1] + 1))
-    marks = (g2 >= LEAST_G2) & (strength > 0) & (below >= LEAST_DOCUMENTS)
+    marks = (g2 >= LEAST_G2) & (strength > 0) & (below >= least_documents)
     return Markers(words[marks], strength[marks])
 
 
@@ -156,13 +157,13 @@ class Ordinal:
         return logistic(score[:, None] - self.thresholds[None, :])
 
 
-def fit(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate: float = 0.4, shrink: float = 1e-5) -> Ordinal:
+def fit(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate: float = 0.4, shrink: float = 1e-5, least_documents: int = LEAST_DOCUMENTS) -> Ordinal:
     """Full-batch Adam on the mean negative log likelihood. Thresholds start at the grades' smoothed shares and stay ordered through logarithms of their gaps."""
     n = len(grade)
     share = (np.bincount(grade, minlength=grades) + 0.5) / (n + 0.5 * grades)
     cut = np.log(np.cumsum(share)[:-1] / (1 - np.cumsum(share)[:-1]))
     free = np.concatenate([cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
-    common = np.bincount(place)[place] >= LEAST_DOCUMENTS
+    common = np.bincount(place)[place] >= least_documents
     row = np.repeat(np.arange(n), np.diff(bounds))[common]
     value = value[common]
     used, column = np.unique(place[common], return_inverse=True)
@@ -200,9 +201,9 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return rated.groupBy("doc_id").agg(F.min(grade).cast("int").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, grades: int = TOP + 1) -> Ordinal | None:
-    """Fit on the ``fit_rows`` rated documents of lowest hash; None where there are none."""
-    sample = ratings.select(F.col("doc_id").alias("__id"), "grade").orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
+def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, grades: int = TOP + 1, least_documents: int = LEAST_DOCUMENTS) -> Ordinal | None:
+    """Fit on the ``fit_rows`` rated documents of lowest hash; None where there are none. Features of fewer than ``least_documents`` of them are left out."""
+    sample = ratings.select(F.col("doc_id").alias("rated"), "grade").orderBy(F.xxhash64("rated"), "rated").limit(fit_rows)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +218,7 @@ def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, grades:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grade").slice(a, b - a), pa.ListArray.from_arrays(cut, place), pa.ListArray.from_arrays(cut, value), pa.ListArray.from_arrays(of, word[new])], ["doc_id", "grade", "place", "value", "words"])
 
     # The sample is bounded by fit_rows, so it may be broadcast.
-    texts = keyed(docs, F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "grade", "text")
+    texts = keyed(docs, F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("rated")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "grade", "text")
     got = arrow_batches(texts, rows, "doc_id bigint, grade int, place array<int>, value array<float>, words array<bigint>").toArrow().combine_chunks()
     if got.num_rows == 0:
         return None
@@ -226,43 +227,42 @@ def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, grades:
     grade = got.column("grade").to_numpy()
     order, of = ((x.offsets.to_numpy() - x.offsets[0].as_py()).astype(np.int64) for x in (place, words))
     word, text = words.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(grade)), np.diff(of))
-    marks = markers(word, grade[text], np.bincount(grade, minlength=grades))
+    marks = markers(word, grade[text], np.bincount(grade, minlength=grades), least_documents)
     rows_of = with_markers(order, place.flatten().to_numpy(), value.flatten().to_numpy(), marks.strongest(word, text, len(grade)))
-    return replace(fit(*rows_of, grade, grades), markers=marks)
+    return replace(fit(*rows_of, grade, grades, least_documents=least_documents), markers=marks)
 
 
 def scores(docs: DataFrame, model: Ordinal | None, grades: int = TOP + 1) -> DataFrame:
-    """The given columns with __grade (expected) and __tail, P(grade is the top one)."""
-    names = docs.columns
+    """The given columns as c0, c1, ... (names of any kind are the caller's), then grade (expected) and tail, P(grade is the top one)."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[[c.lower() for c in docs.columns].index("text")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = kernels.buffers(batch.column("text").cast(pa.string()))
+            raw, off = kernels.buffers(batch.column(text).cast(pa.string()))
             expected, tail = np.zeros(len(batch)), np.zeros(len(batch))
-            for a, b, bounds, place, value, word, text in text_words(raw, off):
+            for a, b, bounds, place, value, word, owner in text_words(raw, off):
                 some = np.flatnonzero(np.diff(bounds))
                 if model is None:
                     expected[a + some], tail[a + some] = grades - 1, 1.0
                 elif len(some):
-                    marked = model.weights[MARKER] * model.markers.strongest(word, text, b - a)
+                    marked = model.weights[MARKER] * model.markers.strongest(word, owner, b - a)
                     p = model.tails(np.add.reduceat(model.weights[place] * value, bounds[:-1][some]) + marked[some])
                     expected[a + some], tail[a + some] = p.sum(1), p[:, -1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*names, "__grade", "__tail"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*names, "grade", "tail"])
 
-    schema = docs.schema
-    for c in ("__grade", "__tail"):
-        schema = type(schema)(list(schema.fields)).add(c, "double")
-    return arrow_batches(docs, judge, schema)
+    plain = docs.toDF(*names)
+    return arrow_batches(plain, judge, T.StructType([*plain.schema.fields, T.StructField("grade", T.DoubleType()), T.StructField("tail", T.DoubleType())]))
 
 
 def graded(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """doc_id, expected_grade, tail_probability of every document."""
-    return scores(keyed(docs, "text"), model).select("doc_id", F.col("__grade").alias("expected_grade"), F.col("__tail").alias("tail_probability"))
+    return scores(keyed(docs, "text"), model).select(F.col("c0").alias("doc_id"), F.col("grade").alias("expected_grade"), F.col("tail").alias("tail_probability"))
 
 
 def select(docs: DataFrame, model: Ordinal | None, least_tail: float = LEAST_TAIL) -> DataFrame:
     """The documents whose tail probability reaches ``least_tail``, with all their columns."""
-    return scores(docs.filter(F.col("doc_id").isNotNull()), model).filter(F.col("__tail") >= least_tail).drop("__grade", "__tail")
+    return scores(docs.filter(F.col("doc_id").isNotNull()), model).filter(F.col("tail") >= least_tail).drop("grade", "tail").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
     if len(records) < 8 or total < 16 << 10:
         return b""
     try:
-        return zstandard.train_dictionary(min(size, max(1 << 10, total // 16)), records, k=200, d=8, f=18, accel=4, split_point=1.0).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1 << 10, total // 16)), records, k=200, d=8, f=18, accel=1, split_point=1.0).as_bytes()
     except zstandard.ZstdError:  # records without anything in common
         return b""
 

@@ -1,5 +1,5 @@
 import corpus_pipeline as cp
-from fixtures_llm import awkward, empty
+from fixtures_llm import awkward, clashing, empty
 
 from gritstone.llm import mixing, near_dedup, ordinal_quality, packing, secret_ledger
 from gritstone.llm.common import stored
@@ -45,7 +45,7 @@ def test_run_is_the_stages(spark, sf_dir):
 
 
 def test_awkward_documents_pass_through(spark, sf_dir):
-    for docs in (awkward(spark), empty(spark)):
+    for docs in (awkward(spark), clashing(spark), empty(spark)):
         for _, stage in cp.STAGES[:-1]:
             out = stored(stage(spark, docs, sf_dir), "x")
             assert out.columns == docs.columns
