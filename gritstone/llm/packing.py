@@ -9,8 +9,8 @@ work and memory depend on the capacity, not on the corpus. Executors then look t
 Defined cases. A document longer than the capacity is cut into full pieces and a rest, all of them packed;
 nothing is dropped or truncated. Texts of no tokens (null or empty) take no room and are in no bin. Rows without
 a doc_id are left out; rows that repeat a doc_id are packed as often as they occur. Among equal lengths the
-hash of the doc_id, then doc_id and piece decide; among equally tight bins the one that came to that remainder
-first. Only doc_id and text are read. No rows in, no rows out.
+hash of doc_id and piece, then doc_id and piece decide, however the rows lie; among equally tight bins the one that
+came to that remainder first. Only doc_id and text are read. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import arrow_batches, stored, table
+from gritstone.llm.common import arrow_batches, hash_order, hash_part, stored, table
 from gritstone.llm.tokens import VOCABULARY, count_tokens
 
-CAPACITY, SALTS = 2048, 16
+#: Pieces of one length that one task ranks, about.
+CAPACITY, RANKED = 2048, 1 << 21
 
 
 class RoomTree:
@@ -98,13 +99,17 @@ def pieces(lengths: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
     """doc_id, piece, n_tokens, bin_id, bin_offset for lengths (doc_id, n_tokens)."""
-    # Ranks within a length are counted within 16 hash parts and shifted by the parts before, so no length, however common, is one task.
-    cut = pieces(lengths, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    held = stored(cut, "pieces")
-    parts = held.groupBy("n_tokens", "salt").count().toPandas()  # at most capacity * SALTS rows
-    table_of = np.zeros((capacity + 1, SALTS), np.int64)
+    held = stored(pieces(lengths, capacity), "pieces")
+    # Ranks within a length are counted within ranges of the hash they are ordered by, as many as its pieces need, and shifted by
+    # the ranges before: no length, however common, is one task, and the order doesn't depend on their number.
+    common = held.groupBy("n_tokens").count().select("n_tokens", F.ceil(F.col("count") / ranked).cast("int").alias("parts"))
+    many = {r["n_tokens"]: r["parts"] for r in common.filter("parts > 1").collect()}  # at most capacity rows
+    parts_of = F.lit(1) if not many else F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("n_tokens")], F.lit(1))
+    held = held.withColumn("salt", hash_part(parts_of, "doc_id", "piece"))
+    parts = held.groupBy("n_tokens", "salt").count().toPandas()  # at most capacity + pieces / ranked rows
+    table_of = np.zeros((capacity + 1, max(many.values(), default=1)), np.int64)
     table_of[parts["n_tokens"], parts["salt"]] = parts["count"]
     before = np.cumsum(table_of, axis=1) - table_of
     totals = table_of.sum(1)
@@ -122,8 +127,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             bin_id, slot = step[:, 2] + turn // step[:, 3], turn % step[:, 3]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("piece"), batch.column("n_tokens"), pa.array(bin_id), pa.array((step[:, 4] + slot * n).astype(np.int32))], ["doc_id", "piece", "n_tokens", "bin_id", "bin_offset"])
 
-    ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")))
-    return arrow_batches(ranked, place, "doc_id bigint, piece int, n_tokens int, bin_id bigint, bin_offset int", 10_000)
+    in_order = held.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy(hash_order("doc_id", "piece"), "doc_id", "piece")))
+    return arrow_batches(in_order, place, "doc_id bigint, piece int, n_tokens int, bin_id bigint, bin_offset int", 10_000)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -80,5 +80,43 @@ def test_whole_texts_are_packed(spark):
     assert room == Counter(place_one_by_one(got.n_tokens.tolist(), 64))
 
 
+def bins_by_hand(pieces, capacity):
+    """(doc_id, piece, n_tokens) in the stated order, one by one: by falling length, then hash order, doc_id and piece; the bin that came first to the tightest remainder."""
+    room, since, clock, out = [], [], 0, {}
+    for d, p, n in pieces:
+        fits = [(r, since[i], i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            i = min(fits)[2]
+        else:
+            i = len(room)
+            room.append(capacity)
+            since.append(0)
+        out[d, p] = (i, capacity - room[i])
+        room[i] -= n
+        clock += 1
+        since[i] = clock
+    return out
+
+
+def test_bins_and_order_do_not_depend_on_how_lengths_are_cut(spark):
+    r = random.Random(9)
+    lengths = [(i, r.choice([5, 5, 5, 7, 20, 64, 130, 200])) for i in range(400)]
+    df = spark.createDataFrame(lengths, "doc_id long, n_tokens long")
+    got = [{(x.doc_id, x.piece): (x.n_tokens, x.bin_id, x.bin_offset) for x in packing.pack(df, 64, ranked=k).collect()} for k in (packing.RANKED, 10, 33)]
+    assert got[0] == got[1] == got[2]
+    cut = packing.pieces(df, 64).select("doc_id", "piece", "n_tokens", packing.hash_order("doc_id", "piece").alias("h")).collect()
+    order = sorted(cut, key=lambda x: (-x.n_tokens, x.h, x.doc_id, x.piece))
+    want = bins_by_hand([(x.doc_id, x.piece, x.n_tokens) for x in order], 64)
+    rank = {}
+    for k, (n, b, o) in got[0].items():
+        rank.setdefault(b, set()).add((o, n))
+    by_hand = {}
+    for (d, p), (b, o) in want.items():
+        by_hand.setdefault(b, set()).add((o, got[0][d, p][0]))
+    assert sorted(map(sorted, rank.values())) == sorted(map(sorted, by_hand.values()))
+    for n in {x.n_tokens for x in cut}:  # pieces of one length come to bins in the stated order
+        assert len({got[0][x.doc_id, x.piece][1:] for x in order if x.n_tokens == n}) == sum(x.n_tokens == n for x in order)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
