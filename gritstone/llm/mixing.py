@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import stored, table, with_ids
+from gritstone.llm.common import hash_order, hash_part, small_side, stored, table, with_ids
 from gritstone.llm.tokens import VOCABULARY, count_tokens
 
 WINDOW, SHARE, SEED = 1 << 15, 0.5, 17
+#: Documents of one source and length that one task ranks, about.
+RANKED = 1 << 21
 
 
 def budgets(available: Mapping[str | None, int], weights: Mapping[str | None, float] | None, total: int) -> dict[str | None, int]:
@@ -101,11 +103,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     return take
 
 
-def choose(lengths: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
+def choose(lengths: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, share: float = SHARE, seed: int = SEED, ranked: int = RANKED) -> DataFrame:
     """doc_id, source, n_tokens of the chosen documents, of lengths (doc_id, source, n_tokens)."""
     held = stored(lengths.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x")).select("doc_id", "x.source", "x.n_tokens").filter("n_tokens > 0"), "lengths")
-    counts = held.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
-    available = {r["source"]: int(r["tokens"]) for r in held.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # one row a source
+    counts = stored(held.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "histogram")
+    available = {r["source"]: int(r["tokens"]) for r in counts.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens")).collect()}  # one row a source
     goal = budgets(available, weights, int(sum(available.values()) * share) if total is None else total)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -113,12 +115,23 @@ def choose(lengths: DataFrame, weights: Mapping[str | None, float] | None = None
         source = part["source"].iloc[0]
         budget = goal[None if pd.isna(source) else source]
         part["take"] = fit_budget(part["n_tokens"].to_numpy(np.int64), part["n"].to_numpy(np.int64), budget, seed)
-        return part.loc[part["take"] > 0, ["source", "n_tokens", "take"]]
-
-    take = counts.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, take bigint").select(F.col("source").alias("__s"), F.col("n_tokens").alias("__n"), "take")
-    order = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ranked = held.withColumn("__rank", F.row_number().over(order))
-    return ranked.join(take, F.col("source").eqNullSafe(F.col("__s")) & (F.col("n_tokens") == F.col("__n"))).filter("__rank <= take").select("doc_id", "source", "n_tokens")
+        return part[["source", "n_tokens", "n", "take"]]
+
+    # A length of a source is ranked in ranges of the seeded hash that orders it, as many as its documents need.
+    fitted = counts.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, n bigint, take bigint")
+    take = stored(fitted.filter("take > 0").select(F.col("source").alias("s"), F.col("n_tokens").alias("length"), "take", F.ceil(F.col("n") / ranked).cast("int").alias("parts")), "take")
+    order = hash_order(F.lit(seed), "doc_id")
+    drawn = held.join(small_side(take), F.col("source").eqNullSafe(F.col("s")) & (F.col("n_tokens") == F.col("length"))).withColumn("part", hash_part(F.col("parts"), F.lit(seed), "doc_id"))
+    keys = ["source", "n_tokens", "part"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "doc_id"))
+    if take.filter("parts > 1").isEmpty():
+        return drawn.withColumn("rank", rank).filter("rank <= take").select("doc_id", "source", "n_tokens")
+    sizes = drawn.groupBy(*keys).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("source", "n_tokens").orderBy("part")) - F.col("size")
+    before = stored(sizes.select(F.col("source").alias("s2"), F.col("n_tokens").alias("length2"), F.col("part").alias("part2"), before.alias("before")), "before")
+    at = F.col("source").eqNullSafe(F.col("s2")) & (F.col("n_tokens") == F.col("length2")) & (F.col("part") == F.col("part2"))
+    # Ranges that lie wholly beyond what is taken go before anything is sorted.
+    return drawn.join(small_side(before), at).filter("before < take").withColumn("rank", rank + F.col("before")).filter("rank <= take").select("doc_id", "source", "n_tokens")
 
 
 def chosen(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: int | None = None, share: float = SHARE, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -49,6 +49,23 @@ def test_selection(spark):
     assert len(whole) == 13
 
 
+def test_selection_equals_brute_force_however_lengths_are_cut(spark):
+    r = np.random.default_rng(2)
+    rows = [(int(i), None if i % 5 == 4 else f"s{i % 3}", int(n)) for i, n in enumerate(r.choice([3, 3, 3, 8, 21, 500], 900))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    got = [{x.doc_id for x in mixing.choose(df, ranked=k).collect()} for k in (mixing.RANKED, 7, 50)]
+    hashes = {x.doc_id: x.h for x in df.select("doc_id", mixing.hash_order(mixing.F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+    have = {}
+    for _, s, n in rows:
+        have[s] = have.get(s, 0) + n
+    goal, want = mixing.budgets(have, None, sum(have.values()) // 2), set()
+    for s in have:
+        lengths, counts = np.unique([n for _, t, n in rows if t == s], return_counts=True)
+        for n, k in zip(lengths, mixing.fit_budget(lengths, counts, goal[s])):
+            want |= set(sorted((i for i, t, m in rows if t == s and m == n), key=lambda i: (hashes[i], i))[:k])
+    assert got[0] == got[1] == got[2] == want
+
+
 def test_weights(spark):
     docs = spark.createDataFrame([(i, "word " * (10 + i % 37), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
     got = mixing.chosen(docs, weights={"s0": 2, "s1": 1}, total=3000).toPandas()
