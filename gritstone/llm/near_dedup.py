@@ -6,9 +6,11 @@ estimates their Jaccard similarity, most precisely where it is high, and decides
 links, directly or through others, form a group, of which the lowest doc_id stays.
 
 Defined cases. A row without a doc_id is no document and is left out. Rows that repeat a doc_id are one
-document. Null texts and texts without a letter or digit have nothing to compare: each is a group of its own.
-A text of a single word has that word as its only shingle, so equal ones meet. Columns other than doc_id and
-text are never read by the search; ``remove`` keeps them as they are. No rows in, no rows out.
+document, for which in estimates the text of its lowest signature stands. Null texts and texts without a letter or
+digit have nothing to compare: each is a group of its own. A text of a single word has that word as its only
+shingle, so equal ones meet. Words are runs of letters and digits; all bytes of a script other than ASCII count as
+letters, so a text without spaces in such a script is one word, of which only equal copies meet. Columns other than
+doc_id (an integer) and text are never read by the search; ``remove`` keeps them as they are. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.llm import kernels
-from gritstone.llm.common import arrow_batches, keyed, shared_dir, stored, table, with_ids
+from gritstone.llm.common import arrow_batches, hash_part, keyed, shared_dir, small_side, stored, table, with_ids
 
 WORDS, SAMPLES, BITS, BANDS, ROWS, LEAST = 2, 256, 512, 24, 4, 0.55
+#: Representatives of one band that are searched at once.
+BLOCK = 8192
 
 
 def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -70,40 +74,97 @@ def signatures(docs: DataFrame) -> DataFrame:
     return arrow_batches(docs, sign, "doc_id bigint, sig_a bigint, sig_b bigint, sketch array<bigint>, bands array<bigint>")
 
 
-def bucket_links(ids: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links (lowest id, other) of every group within one bucket: a search that goes on from each member it finds, so all pairs count, though members once found are compared no more."""
-    links, rest = [], np.argsort(ids, kind="stable")
-    while len(rest) > 1:
-        head, rest, edge, at = rest[0], rest[1:], [rest[0]], 0
+def clusters(ids: np.ndarray, sketches: np.ndarray, most: int) -> list[np.ndarray]:
+    """The members (places) of each connected group of a bucket, its lowest id first: a search that goes on from each member it finds, so all pairs count, though members once found are compared no more."""
+    out, rest = [], np.argsort(ids, kind="stable")
+    while len(rest):
+        edge, rest, at = [rest[0]], rest[1:], 0
         while at < len(edge) and len(rest):
             near = np.bitwise_count(sketches[rest] ^ sketches[edge[at]]).sum(1) <= most
             edge.extend(rest[near])
             rest = rest[~near]
             at += 1
-        links.extend((int(ids[head]), int(ids[x])) for x in edge[1:] if ids[x] != ids[head])
+        out.append(np.array(edge))
+    return out
+
+
+def bucket_links(ids: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links (lowest id, other) of every connected group within one bucket."""
+    return [(int(ids[c[0]]), int(ids[x])) for c in clusters(ids, sketches, most) if len(c) > 1 for x in c[1:] if ids[x] != ids[c[0]]]
+
+
+def cross_links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int) -> list[tuple[int, int]]:
+    """A link for each pair of groups of two blocks that has any: by their heads where these are near, by their members only where the
+    heads' distance and the groups' radii leave it open (Hamming distance is a metric)."""
+    sides = []
+    for ids, sketches in (a, b):
+        groups = clusters(ids, sketches, most)
+        heads = np.array([c[0] for c in groups])
+        radii = np.array([int(np.bitwise_count(sketches[c] ^ sketches[c[0]]).sum(1).max()) for c in groups])
+        sides.append((ids, sketches, groups, heads, radii))
+    (ids_a, sk_a, groups_a, heads_a, radii_a), (ids_b, sk_b, groups_b, heads_b, radii_b) = sides
+    links = []
+    for i, head in enumerate(heads_a):
+        apart = np.bitwise_count(sk_b[heads_b] ^ sk_a[head]).sum(1).astype(np.int64)
+        for j in np.flatnonzero(apart <= most + radii_a[i] + radii_b):
+            x, y = head, heads_b[j]
+            if apart[j] > most:
+                for x in groups_a[i]:
+                    near = np.flatnonzero(np.bitwise_count(sk_b[groups_b[j]] ^ sk_a[x]).sum(1) <= most)
+                    if len(near):
+                        y = groups_b[j][near[0]]
+                        break
+                else:
+                    continue
+            if ids_a[x] != ids_b[y]:
+                links.append((int(min(ids_a[x], ids_b[y])), int(max(ids_a[x], ids_b[y]))))
     return links
 
 
-def candidate_links(reps: DataFrame, least: float) -> DataFrame:
-    """low, high: verified links between representatives that share a band."""
+def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of each list, and the reps and sketches of all."""
+    off = column.offsets.to_numpy() - column.offsets[0].as_py()
+    flat = column.flatten()
+    ids = flat.field("rep").to_numpy()
+    return off, ids, flat.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(ids), BITS // 64)
+
+
+def candidate_links(reps: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """low, high: verified links between representatives that share a band, enough to connect all that such links connect.
+
+    A band of more than ``block`` representatives is cut into blocks by the hash of these; each block is searched alone and each
+    pair of its blocks for links between them, so no task holds more than two blocks of a band however many share it."""
     most = most_different(least)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["low", "high"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, ids, sk = _members(batch.column("members"))
+            yield links_of([x for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for x in bucket_links(ids[a:b], sk[a:b], most)])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column("members")
-            off = col.offsets.to_numpy() - col.offsets[0].as_py()
-            flat = col.flatten()
-            ids = flat.field("rep").to_numpy()
-            sk = flat.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(ids), BITS // 64)
-            low, high = [], []
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                for x, y in bucket_links(ids[a:b], sk[a:b], most):
-                    low.append(x)
-                    high.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"])
-
-    buckets = reps.select("rep", "sketch", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list(F.struct("rep", "sketch")).alias("members")).filter(F.size("members") > 1).select("members")
-    return arrow_batches(buckets, verify, "low bigint, high bigint", 2000).distinct()
+            (off_a, ids_a, sk_a), (off_b, ids_b, sk_b) = (_members(batch.column(c)) for c in ("members", "others"))
+            yield links_of([x for a, b, c, d in zip(off_a[:-1].tolist(), off_a[1:].tolist(), off_b[:-1].tolist(), off_b[1:].tolist(), strict=True) for x in cross_links((ids_a[a:b], sk_a[a:b]), (ids_b[c:d], sk_b[c:d]), most)])
+
+    listed = reps.select("rep", "sketch", F.explode("bands").alias("band"))
+    gather = F.collect_list(F.struct("rep", "sketch")).alias("members")
+    # A band that none else has needs no list: counts are summed before the shuffle and tell the crowded bands too.
+    crowded = stored(reps.select(F.explode("bands").alias("band")).groupBy("band").count().filter(F.col("count") > block).select("band", F.ceil(F.col("count") / block).cast("int").alias("parts")), "crowded")
+    if crowded.isEmpty():
+        lists = listed.groupBy("band").agg(gather).filter(F.size("members") > 1)
+        return arrow_batches(lists.select("members"), within, "low bigint, high bigint", 2000).distinct()
+    sized = listed.join(small_side(crowded), "band", "left").withColumn("part", F.coalesce(hash_part(F.col("parts"), "rep"), F.lit(0)))
+    lists = stored(sized.groupBy("band", "part", "parts").agg(gather), "blocks")
+    alone = arrow_batches(lists.filter(F.size("members") > 1).select("members"), within, "low bigint, high bigint", 200)
+    # Each block goes to its pairs, so that these, not the band, are what tasks share out.
+    blocks = lists.filter("parts is not null")
+    first = blocks.filter("part < parts - 1").select("band", F.col("part").alias("i"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("j"), "members")
+    second = blocks.filter("part > 0").select("band", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("i"), F.col("part").alias("j"), F.col("members").alias("others"))
+    pairs = first.join(second, ["band", "i", "j"]).select("members", "others")
+    return alone.union(arrow_batches(pairs, between, "low bigint, high bigint", 8)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -129,7 +190,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     The estimate may lie under ``least`` where the two are linked through others."""
     signed = stored(signatures(docs), "signed")
-    same = stored(signed.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "representatives")
+    same = stored(signed.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "representatives")
     roots = components(candidate_links(same, least))
     exact = signed.select("doc_id", "sig_a", "sig_b").join(same.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("doc_id", "rep")
     # Rows of one doc_id with different texts are one document: their groups are one group.
@@ -139,7 +200,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         split = components(several.select("low", "high").union(pairs.join(several.select("doc_id"), "doc_id").filter("doc_id <> kept").select(F.least("doc_id", "kept"), F.greatest("doc_id", "kept"))))
         pairs = pairs.join(split, F.col("kept") == F.col("id"), "left").select("doc_id", F.coalesce("root", "kept").alias("kept")).distinct()
     gone = pairs.filter("doc_id <> kept")
-    sketch = signed.groupBy("doc_id").agg(F.first("sketch").alias("s"))
+    sketch = signed.groupBy("doc_id").agg(F.min_by("sketch", F.struct("sig_a", "sig_b")).alias("s"))
     bits = F.aggregate(F.zip_with("s", "t", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     estimate = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 + BITS / (4.0 * SAMPLES) * F.log(F.greatest(1 - 2.0 * bits / BITS, F.lit(1e-12)))))
     other = sketch.select(F.col("doc_id").alias("kept"), F.col("s").alias("t"))

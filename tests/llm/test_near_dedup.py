@@ -76,6 +76,53 @@ def test_bucket_search_equals_all_pairs():
     assert {i: got.get(i, i) for i in parent} == {i: root(i) for i in parent}
 
 
+def test_blocks_of_a_crowded_band_give_the_same_groups(spark):
+    """Near copies that drift, so that far ones meet only through others, all in bands that are cut into blocks."""
+    docs = []
+    for family in range(3):
+        words = prose(120, family).split()
+        for i in range(60):
+            words[(i * 7) % 120] = f"w{family}x{i}"
+            docs.append((family * 1000 + i, " ".join(words)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    reps = near_dedup.signatures(docs).select(near_dedup.F.col("doc_id").alias("rep"), "sketch", "bands")
+    groups = []
+    for block in (near_dedup.BLOCK, 2, 5):
+        links = near_dedup.candidate_links(reps, near_dedup.LEAST, block)
+        groups.append({(r.id, r.root) for r in near_dedup.components(links).collect()})
+    assert groups[0] == groups[1] == groups[2] and len(groups[0]) > 100
+
+
+def test_cross_links_equal_all_pairs():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, (5, 8), dtype=np.uint64)
+    sk = base[r.integers(0, 5, 120)].copy()
+    for row in sk:
+        for b in r.integers(0, 512, r.integers(0, 60)):
+            row[b // 64] ^= np.uint64(1 << (int(b) % 64))
+    ids = r.permutation(5000)[:120].astype(np.int64)
+
+    def groups(links):
+        parent = {int(i): int(i) for i in ids}
+        root = lambda x: x if parent[x] == x else root(parent[x])
+        for a, b in links:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        return {i: root(i) for i in parent}
+
+    for most in (40, 60, 90):
+        a, b = (ids[:50], sk[:50]), (ids[50:], sk[50:])
+        cut = near_dedup.bucket_links(*a, most) + near_dedup.bucket_links(*b, most) + near_dedup.cross_links(a, b, most)
+        assert groups(cut) == groups(near_dedup.bucket_links(ids, sk, most))
+    assert near_dedup.cross_links((ids[:1], sk[:1]), (ids[:1], sk[:1]), 60) == []
+
+
+def test_estimate_of_repeated_ids_does_not_depend_on_order(spark):
+    rows = [(2, prose(100, 1) + " tail"), (2, prose(100, 2)), (1, prose(100, 1)), (1, prose(100, 3))]
+    got = [near_dedup.near_duplicates(spark.createDataFrame(r, "doc_id long, text string").repartition(3)).collect() for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and [(r.doc_id, r.kept_doc_id) for r in got[0]] == [(2, 1)]
+
+
 def test_components(spark):
     r = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in zip(r.integers(0, 300, 200), r.integers(0, 300, 200)) if a != b] + [(1000 + i, 1001 + i) for i in range(40)]
