@@ -57,23 +57,36 @@ def test_boundaries_are_local():
 
 
 def pairs_by_hand(ids, texts):
+    """Pairs of classes, and for each document its class."""
     p = prints(texts)
-    first = {}
-    for i, x in sorted(zip(ids, p)):
-        first.setdefault(x, i)
-    classes = sorted((i, x) for x, i in first.items())
+    first, of = {}, {}
+    key = lambda x, t: (x, None if max(len(x[1]), len(x[2])) >= 7 else t or "")
+    for i, x, t in sorted(zip(ids, p, texts), key=lambda r: r[0]):
+        of[i] = first.setdefault(key(x, t), i)
+    classes = sorted((i, k[0]) for k, i in first.items())
     out = {}
     for k, (i, x) in enumerate(classes):
         for j, y in classes[:k]:
             if i != j and (s := score(x, y)) >= fp.LEAST:
                 out[min(i, j), max(i, j)] = s
-    for i, x in zip(ids, p):
-        if first[x] != i and len(x[1]) >= 7:
-            out[first[x], i] = 100
-    return out
+    return out, of
 
 
-def test_search_equals_all_pairs(spark):
+def rows_by_hand(ids, texts):
+    pairs, of = pairs_by_hand(ids, texts)
+    near = {}
+    for (a, b), s in pairs.items():
+        near.setdefault(a, []).append((-s, b))
+        near.setdefault(b, []).append((-s, a))
+    best = {c: min(x) for c, x in near.items()}
+    return {i: (c, len(near.get(c, [])), *((best[c][1], -best[c][0]) if c in best else (None, None))) for i, c in of.items()}
+
+
+def rows_of(frame):
+    return {r.doc_id: (r.class_id, r.links, r.best_class, r.best_score) for r in frame.collect()}
+
+
+def family():
     r = random.Random(4)
     texts = []
     for i in range(25):
@@ -85,22 +98,39 @@ def test_search_equals_all_pairs(spark):
             texts.append(" ".join(w))
     shared = prose(120, 999)
     texts += [f"{prose(60, 500 + i)} {shared} {prose(60, 700 + i)}" for i in range(10)]
-    ids = list(range(100, 100 + len(texts)))
-    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    got = {(r.doc_a, r.doc_b): r.score for r in fp.similar(fp.fingerprints(docs)).collect()}
-    assert got == pairs_by_hand(ids, texts) and len(got) > 20
+    texts += ["ab", "ab", "abc", "", None]
+    return list(range(100, 100 + len(texts))), texts
+
+
+def test_search_equals_all_pairs_however_buckets_are_cut(spark):
+    ids, texts = family()
+    made = fp.fingerprints(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+    want, of = pairs_by_hand(ids, texts)
+    assert len(want) > 20
+    for block in (fp.BLOCK, 3):
+        got = {(r.doc_a, r.doc_b): r.score for r in fp.similar(fp.classes(made), block=block).collect()}
+        assert got == want
+    assert rows_of(fp.classes_of(made)) == rows_by_hand(ids, texts)
 
 
 def test_sf_documents_against_all_pairs(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = {(r.doc_a, r.doc_b): r.score for r in fp.similar(fp.fingerprints(rows)).collect()}
-    listed = rows.collect()
-    assert got == pairs_by_hand([r.doc_id for r in listed], [r.text for r in listed])
+    listed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = fp.query(spark, sf_dir)
+    assert got.columns == ["doc_id", "block_size", "class_id", "links", "best_class", "best_score"]
+    assert rows_of(got) == rows_by_hand([r.doc_id for r in listed], [r.text for r in listed])
 
 
 def test_awkward_and_empty(spark):
     docs = awkward(spark)
     assert fp.fingerprints(docs).count() == 16
-    got = {(r.doc_a, r.doc_b) for r in fp.similar(fp.fingerprints(docs)).collect()}
-    assert {(1, 2), (8, 9)} <= got and not any(a == b for a, b in got) and not any({a, b} & {3, 4, 5, 6, 7} for a, b in got)
-    assert fp.similar(fp.fingerprints(empty(spark))).count() == 0
+    got = rows_of(fp.classes_of(fp.fingerprints(docs)))
+    assert len(got) == 15
+    assert got[2][0] == got[1][0] == 1 and got[7][0] == got[6][0] == 6 and got[4][0] == got[3][0] == 3
+    assert got[9][1] == 1 and got[9][2] == 8 and all(got[i][1] == 0 for i in (3, 4, 5, 6, 7))
+    assert fp.classes_of(fp.fingerprints(empty(spark))).count() == 0
+
+
+def test_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, prose(200, 1)), (1, prose(200, 1)), (1, prose(200, 2)), (2, prose(200, 2))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.links) for r in fp.classes_of(fp.fingerprints(docs)).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (2, 1, 0)]
