@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "word": r"\w"}
 
@@ -45,6 +49,41 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+_RANGES = {"alpha": "a-zA-Z", "digit": "0-9", "alnum": "a-zA-Z0-9", "upper": "A-Z", "lower": "a-z", "space": r"\s", "punct": r"!-/:-@\[-`{-~", "xdigit": "0-9A-Fa-f", "word": r"\w"}
+
+
+def to_python(pattern: str) -> str:
+    """The same dialect for Python's engine, with ASCII classes."""
+    to_java(pattern)
+    out = re.sub(r"\[:(\w+):\]", lambda m: _RANGES[m[1]], pattern)
+    out = re.sub(r"\\z", lambda _: r"\Z", out).replace("(?<", "(?P<").replace("(?PP<", "(?P<")
+    if re.match(r"\(\?[a-z]*m", out):
+        return out
+    cut, in_class, i = [], False, 0
+    while i < len(out):
+        if out[i] == "\\":
+            cut.append(out[i : i + 2])
+            i += 2
+            continue
+        in_class = (in_class or out[i] == "[") and out[i] != "]"
+        cut.append(r"\Z" if out[i] == "$" and not in_class else out[i])
+        i += 1
+    return "".join(cut)
+
+
+@lru_cache(maxsize=4096)
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(to_python(pattern), re.ASCII)
+
+
+def found_in(text: str | None, pattern: str, whole: bool = False) -> bool:
+    """``matches`` of one text."""
+    if text is None:
+        return False
+    p = compiled(pattern)
+    return (p.fullmatch(text) if whole else p.search(text)) is not None
+
+
 def anchored(pattern: str) -> str:
     return rf"\A(?:{to_java(pattern)})\z"
 
@@ -61,30 +100,62 @@ def version_parts(c: Column | str) -> Column:
     return F.when(found != "", F.transform(F.split(found, r"\."), lambda x: x.cast("int")))
 
 
-def version_holds(c: Column | str, constraint: str) -> Column:
-    """``<0.8.0`` and the like against a version text; ^ and ~ compare as equality, an unknown version holds."""
-    m = re.fullmatch(r"\s*(<=|>=|<|>|=|\^|~)?\s*(\d+)\.(\d+)\.(\d+)\s*", constraint)
+_CONSTRAINT = re.compile(r"\s*(>=|<=|==|>|<|=|\^|~)?\s*(\d+)(?:\.(\d+))?(?:\.(\d+))?\s*")
+
+
+def version_constraint(text: str) -> tuple[str, list[int]]:
+    """Operator and x.y.z of a constraint; parts that aren't given are 0, and ^ and ~ compare as equality. The one grammar for templates and their evaluation."""
+    m = _CONSTRAINT.fullmatch(text)
     if not m:
-        raise ValueError(f"no version constraint: {constraint}")
-    want, have = F.array(*[F.lit(int(x)) for x in m.groups()[1:]]), version_parts(c)
-    test = {"<": have < want, "<=": have <= want, ">": have > want, ">=": have >= want}.get(m[1] or "=", have == want)
+        raise ValueError(f"no version constraint: {text}")
+    return {"<": "<", "<=": "<=", ">": ">", ">=": ">="}.get(m[1] or "=", "="), [int(x or 0) for x in m.groups()[1:]]
+
+
+def version_holds(c: Column | str, constraint: str) -> Column:
+    """``<0.8.0`` and the like against a version text; an unknown version holds."""
+    op, parts = version_constraint(constraint)
+    want, have = F.array(*map(F.lit, parts)), version_parts(c)
+    test = {"<": have < want, "<=": have <= want, ">": have > want, ">=": have >= want, "=": have == want}[op]
     return have.isNull() | test
 
 
+def version_satisfies(version: str | None, constraint: str) -> bool:
+    """``version_holds`` of one text."""
+    op, want = version_constraint(constraint)
+    m = re.search(r"(\d+)\.(\d+)\.(\d+)", version or "")
+    have = [int(x) for x in m.groups()] if m else None
+    return have is None or {"<": have < want, "<=": have <= want, ">": have > want, ">=": have >= want, "=": have == want}[op]
+
+
 def code_lines(c: Column | str) -> Column:
     """Lines that are neither blank nor comments."""
     return F.size(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^\s*$") & ~x.rlike(r"^\s*(//|/\*|\*)")))
 
 
 def spans(rows: DataFrame, text: str, pattern: str) -> DataFrame:
-    """Each match of ``pattern`` with match_no, match, begin and end (characters from 0), line and col (from 1). The gaps between matches give the places, so no Python is needed."""
-    p = F.lit(to_java(pattern))
-    got = rows.withColumn("__m", F.regexp_extract_all(text, p, F.lit(0))).filter(F.size("__m") > 0).withColumn("__g", F.split(F.col(text), to_java(pattern), -1))
-    each = got.select("*", F.posexplode("__m").alias("__i", "match"))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-    begin = total(F.slice("__g", F.lit(1), F.col("__i") + 1)) + total(F.slice("__m", F.lit(1), F.col("__i")))
-    each = each.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("match"))
-    before = F.substring(F.col(text), F.lit(1), F.col("begin"))
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    col = F.length(F.substring_index(before, "\n", -1)) + 1
-    return each.withColumn("match_no", F.col("__i") + 1).withColumn("line", line).withColumn("col", col).drop("__m", "__g", "__i")
+    """Each match of ``pattern`` in the column ``text``: the other columns with match_no, match, begin and end (characters from 0), line and col (from 1).
+
+    One pass over each text where it lies, lines counted on from match to match; no row carries its text along."""
+    find = to_python(pattern)
+    others = [c for c in rows.columns if c != text]
+    names = [f"c{i}" for i in range(len(others))]
+    plain = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = re.compile(find, re.ASCII)
+        for batch in batches:
+            at, out = [], []
+            for row, body in enumerate(batch.column("text").to_pylist()):
+                line, since = 1, 0
+                for i, m in enumerate(compiled.finditer(body) if body else (), 1):
+                    begin = m.start()
+                    line += body.count("\n", since, begin)
+                    since = begin
+                    at.append(row)
+                    out.append((i, m[0], begin, m.end(), line, begin - body.rfind("\n", 0, begin)))
+            kept = [batch.column(n).take(pa.array(at, pa.int64())) for n in names]
+            found = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(found, (pa.int32(), pa.string(), *[pa.int32()] * 4), strict=True))], [*names, "match_no", "match", "begin", "end", "line", "col"])
+
+    fields = [*plain.schema.fields[:-1], *T.StructType.fromDDL("match_no int, match string, begin int, end int, line int, col int").fields]
+    return plain.mapInArrow(search, T.StructType(fields)).toDF(*others, "match_no", "match", "begin", "end", "line", "col")

@@ -1,27 +1,43 @@
 """The code database: a project's files, contracts, functions, calls, effects and syntax-tree nodes as DataFrames.
 
-Bases resolve by joins and fail closed where a name is ambiguous; ancestors come from a breadth-first closure; each
-contract with its ancestors is then one row, from which a single Python pass emits every entity.
+A project's names resolve from the heads of its contracts alone, and fail closed where one is ambiguous. Each contract
+with its ancestors and libraries is then one row, from which a single Python pass emits every entity. Entities are nested
+columns of one Parquet table, so a reader takes those it needs; a scope's nodes are one row, so templates need no shuffle.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gritstone.operators.graph import cut, reach
+from gritstone.operators.storage import stored
 from gritstone.sources.project import load
 
+def fields(ddl: str) -> list[str]:
+    """The fields of a schema, without cutting within < >."""
+    out, depth, held = [], 0, ""
+    for ch in ddl:
+        depth += ch == "<"
+        depth -= ch == ">"
+        if ch == "," and not depth:
+            out.append(held)
+            held = ""
+        else:
+            held += ch
+    return [*out, held]
+
+
 _SPAN = "line int, col int, end_line int, end_col int, begin_byte int, end_byte int"
-NODE = f"scope_id string, inst int, pre int, post int, parent int, child_idx int, arg_idx int, kind string, name string, value string, attrs map<string,string>, ref_kind string, taints array<string>, x int, y int, arms map<string,string>, stmt int, stmt_post int, target string, proven boolean, file string, fn string, {_SPAN}"
+NODE = f"scope_id string, inst int, pre int, post int, parent int, child_idx int, arg_idx int, kind string, name string, value string, attrs map<string,string>, ref_kind string, taints array<string>, x int, y int, last_x int, last_y int, arms map<string,string>, stmt int, stmt_post int, target string, proven boolean, file string, fn string, {_SPAN}"
 SCOPE = f"scope_id string, scope string, contract_id string, contract string, contract_kind string, function_id string, function string, visibility string, mutability string, modifiers array<string>, params array<string>, bases array<string>, controlled boolean, caller_checked boolean, is_main boolean, file string, {_SPAN}"
 FUNCTION = f"function_id string, contract_id string, name string, kind string, selector string, signature string, visibility string, mutability string, modifiers array<string>, is_entry boolean, has_body boolean, file string, {_SPAN}"
 CALL = "src string, dst string, called string, type string, line int"
@@ -29,7 +45,12 @@ WRITE = "function_id string, var string, kind string, line int"
 GUARD = "function_id string, kind string, expr string, line int"
 VAR = "contract_id string, decl_idx int, name string, type_name string, visibility string, is_constant boolean, is_immutable boolean, line int"
 ENTRY = "contract_id string, function_id string, signature string"
-TABLES = {"nodes": NODE, "scopes": SCOPE, "functions": FUNCTION, "calls": CALL, "state_writes": WRITE, "guards": GUARD, "state_vars": VAR, "entry_functions": ENTRY}
+FLOW = "function_id string, source string, target string, line int"
+_NODE = NODE.removeprefix("scope_id string, ")
+_GIVEN = ", ".join(x.strip().replace(" ", ":", 1) for x in fields(_NODE))
+#: A scope with all the nodes that are looked at in it: its instances, the bodies of the modifiers it applies, the whole lines these lie on, and the way to each instance.
+TREE = f"{SCOPE}, pragma string, nodes array<struct<{_GIVEN}>>, guards array<struct<{_GIVEN}>>, texts array<struct<file:string,first:int,text:string>>, paths array<array<string>>"
+TABLES = {"trees": TREE, "functions": FUNCTION, "calls": CALL, "state_writes": WRITE, "guards": GUARD, "state_vars": VAR, "entry_functions": ENTRY, "flows": FLOW}
 
 
 @dataclass(frozen=True)
@@ -37,17 +58,25 @@ class CodeDB:
     files: DataFrame
     contracts: DataFrame
     lineage: DataFrame
-    nodes: DataFrame
-    scopes: DataFrame
+    trees: DataFrame
     functions: DataFrame
     calls: DataFrame
     state_writes: DataFrame
     guards: DataFrame
     state_vars: DataFrame
     entry_functions: DataFrame
+    flows: DataFrame
     main_contracts: DataFrame
     diagnostics: DataFrame
 
+    @property
+    def scopes(self) -> DataFrame:
+        return self.trees.select(*[x.split()[0] for x in fields(SCOPE)])
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.trees.select("scope_id", F.explode("nodes").alias("n")).select("scope_id", "n.*")
+
     def save(self, path: str) -> None:
         """One Parquet table for each entity."""
         for name in self.__dataclass_fields__:
@@ -58,9 +87,16 @@ class CodeDB:
         return CodeDB(**{name: spark.read.parquet(f"{path}/{name}") for name in CodeDB.__dataclass_fields__})
 
     def to_json(self, path: str) -> None:
-        """A folder of JSON lines for each entity, for readers without Parquet."""
+        """A folder of JSON lines for each entity with its schema beside it: ``from_json`` gives the same database again."""
         for name in self.__dataclass_fields__:
-            getattr(self, name).write.mode("overwrite").json(f"{path}/{name}")
+            df = getattr(self, name)
+            df.write.mode("overwrite").json(f"{path}/{name}")
+            df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.schema")
+
+    @staticmethod
+    def from_json(spark: SparkSession, path: str) -> CodeDB:
+        schema = lambda name: StructType.fromJson(json.loads(spark.read.text(f"{path}/{name}.schema").first()[0]))
+        return CodeDB(**{name: spark.read.schema(schema(name)).json(f"{path}/{name}") for name in CodeDB.__dataclass_fields__})
 
 
 def declarations(units: DataFrame) -> DataFrame:
@@ -69,45 +105,96 @@ def declarations(units: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, text, unit in zip(part["path"], part["content"], part["unit"], strict=True):
+            for path, text, unit, pragma in zip(part["path"], part["content"], part["unit"], part["pragma"], strict=True):
                 u = json.loads(unit)
                 for c in u["contracts"]:
-                    c |= {"id": f"{path}#{c['name']}", "file": path, "text": text, "file_structs": u["structs"], "file_enums": u["enums"]}
-                    rows.append((c["id"], c["name"], c["kind"], path, [b["name"] for b in c["bases"]], text.count("\n", 0, c["s"]) + 1, json.dumps(c)))
-            yield pd.DataFrame(rows, columns=["contract_id", "name", "kind", "file", "bases", "line", "decl"])
-
-    return units.select("path", "content", "unit").mapInPandas(run, "contract_id string, name string, kind string, file string, bases array<string>, line int, decl string")
-
-
-def resolve_bases(contracts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges contract_id, pos, base_id; unresolved contract_id, base; visible file, name, kind)."""
-    steps = links.filter("target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst"))
-    seen = reach(steps, contracts.select(F.col("file").alias("origin"), F.col("file").alias("node")).distinct()).select(F.col("origin").alias("file"), F.col("node").alias("other"), F.col("depth").alias("far"))
-    names = contracts.select(F.col("file").alias("other"), F.col("name").alias("known"), F.col("kind").alias("known_kind"), F.col("contract_id").alias("base_id"))
-    visible = seen.join(names, "other").select("file", "known", "known_kind", "base_id", F.when(F.col("far") == 0, 0).otherwise(2).alias("rank"))
-    bound = links.filter("target is not null").select("file", F.col("target").alias("other"), F.explode("symbols").alias("s")).select("file", "other", F.col("s")[0].alias("symbol"), F.col("s")[1].alias("known"))
-    bound = bound.join(names.withColumnRenamed("known", "symbol"), ["other", "symbol"]).select("file", "known", "known_kind", "base_id", F.lit(1).alias("rank"))
-    visible = cut(visible.unionByName(bound).distinct())
-    wanted = contracts.select("contract_id", "file", F.posexplode("bases").alias("pos", "base")).withColumn("known", F.element_at(F.split("base", r"\."), -1))
-    best = wanted.join(visible, ["file", "known"], "left").withColumn("low", F.min("rank").over(Window.partitionBy("contract_id", "pos"))).filter("rank is null or rank = low")
-    one = best.groupBy("contract_id", "pos", "base").agg(F.count_distinct("base_id").alias("n"), F.min("base_id").alias("base_id"))
-    return one.filter("n = 1").select("contract_id", "pos", "base_id"), one.filter("n <> 1").select("contract_id", "base"), visible.select("file", F.col("known").alias("name"), F.col("known_kind").alias("kind")).distinct()
-
-
-def linearized(contracts: DataFrame, edges: DataFrame) -> DataFrame:
-    """contract_id, pos, base_id: C3 order of every contract, itself first."""
-    direct = edges.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("pos", "base_id"))).alias("b")).select("contract_id", F.col("b.base_id").alias("direct"))
-    above = reach(edges.select(F.col("contract_id").alias("src"), F.col("base_id").alias("dst")), contracts.select(F.col("contract_id").alias("origin"), F.col("contract_id").alias("node")))
-    rows = above.join(direct, F.col("node") == F.col("contract_id"), "left").groupBy("origin").agg(F.collect_list(F.struct("node", F.coalesce("direct", F.array().cast("array<string>")).alias("direct"))).alias("g"))
+                    # Of the file's text only the whole lines that the contract lies on, with where they start.
+                    a, z = text.rfind("\n", 0, c["s"]) + 1, text.find("\n", max(c["s"], c["e"] - 1))
+                    own, line = text[a : len(text) if z < 0 else z], text.count("\n", 0, a) + 1
+                    c |= {"id": f"{path}#{c['name']}", "file": path, "text": [own, a, line, len(text[:a].encode("utf-8", "surrogatepass"))], "pragma": pragma, "file_structs": u["structs"], "file_enums": u["enums"]}
+                    mentioned = {(d["library"] or "").split(".")[-1] for d in c["using"]} | set(re.findall(r"\b([A-Za-z_$][\w$]*)\s*\.", own))
+                    rows.append((c["id"], c["name"], c["kind"], path, [b["name"] for b in c["bases"]], line, sorted(mentioned - {""}), json.dumps(c)))
+            yield pd.DataFrame(rows, columns=["contract_id", "name", "kind", "file", "bases", "line", "mentions", "decl"])
+
+    return units.select("path", "content", "unit", "pragma").mapInPandas(run, "contract_id string, name string, kind string, file string, bases array<string>, line int, mentions array<string>, decl string")
+
+
+RESOLVED = "contract_id string, mro array<string>, direct array<string>, unresolved array<string>, libraries array<string>, is_main boolean, kinds array<struct<name:string,kind:string>>"
+
+
+def resolve(heads: list[dict], links: list[dict]) -> list[dict]:
+    """What a project's names mean, of its contracts' heads and its import links: rows of ``RESOLVED``.
+
+    A name is looked for in its own file, then among symbols that imports bind, then in all that these reach; where the nearest of these
+    know several, it fails closed. Only heads take part, so a project of any real size is small."""
+    from gritstone.solidity.program import linearize
+
+    steps: dict[str, list[dict]] = {}
+    for x in links:
+        if x["target"] is not None:
+            steps.setdefault(x["file"], []).append(x)
+    declared: dict[str, dict[str, list[dict]]] = {}
+    for h in heads:
+        declared.setdefault(h["file"], {}).setdefault(h["name"], []).append(h)
+    seen: dict[str, list[str]] = {}
+
+    def reached_from(file: str) -> list[str]:
+        if file not in seen:
+            out, at = [file], 0
+            have = {file}
+            while at < len(out):
+                for x in steps.get(out[at], []):
+                    if x["target"] not in have:
+                        have.add(x["target"])
+                        out.append(x["target"])
+                at += 1
+            seen[file] = out
+        return seen[file]
+
+    def candidates(file: str, name: str) -> list[str]:
+        own = [h["contract_id"] for h in declared.get(file, {}).get(name, [])]
+        if own:
+            return own
+        bound = {h["contract_id"] for x in steps.get(file, []) for symbol, alias in (s[:2] for s in x["symbols"] if len(s) > 1) if alias == name for h in declared.get(x["target"], {}).get(symbol, [])}
+        return sorted(bound) or sorted({h["contract_id"] for f in reached_from(file)[1:] for h in declared.get(f, {}).get(name, [])})
+
+    direct, unresolved, libraries = {}, {}, {}
+    of = {h["contract_id"]: h for h in heads}
+    for h in heads:
+        got = [(b, candidates(h["file"], b.split(".")[-1])) for b in h["bases"]]
+        direct[h["contract_id"]] = [c[0] for _, c in got if len(c) == 1]
+        unresolved[h["contract_id"]] = [b for b, c in got if len(c) != 1]
+        mentioned = [candidates(h["file"], m) for m in h["mentions"]]
+        libraries[h["contract_id"]] = [c[0] for c in mentioned if len(c) == 1 and of[c[0]]["kind"] == "library" and c[0] != h["contract_id"]]
+    inherited = {b for bases in direct.values() for b in bases}
+    kinds: dict[str, list[tuple[str, str]]] = {}
+    out = []
+    for h in heads:
+        c, file = h["contract_id"], h["file"]
+        if file not in kinds:
+            known = {(k, x["kind"]) for f in reached_from(file) for k, xs in declared.get(f, {}).items() for x in xs}
+            known |= {(alias, x["kind"]) for link in steps.get(file, []) for symbol, alias in (s[:2] for s in link["symbols"] if len(s) > 1) for x in declared.get(link["target"], {}).get(symbol, [])}
+            kinds[file] = sorted(known)
+        mro = linearize(c, direct)
+        need, at = [x for b in mro for x in libraries.get(b, [])], 0
+        need = list(dict.fromkeys(need))
+        while at < len(need):  # libraries call libraries
+            need.extend(x for x in libraries.get(need[at], []) if x not in need)
+            at += 1
+        out.append({"contract_id": c, "mro": mro, "direct": direct[c], "unresolved": unresolved[c], "libraries": need, "is_main": h["kind"] == "contract" and c not in inherited, "kinds": kinds[file]})
+    return out
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from gritstone.solidity.program import linearize
 
-        for part in parts:
-            out = [(c, i, b) for c, g in zip(part["origin"], part["g"], strict=True) for i, b in enumerate(linearize(c, {x["node"]: list(x["direct"]) for x in g}))]
-            yield pd.DataFrame(out, columns=["contract_id", "pos", "base_id"])
+def resolved(heads: DataFrame, links: DataFrame) -> DataFrame:
+    """``resolve`` for each project of the heads (project, contract_id, name, kind, file, bases, mentions) and links (project, file, target, symbols)."""
 
-    return rows.mapInPandas(run, "contract_id string, pos int, base_id string")
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda x: [] if x.empty else x.to_dict("records")
+        out = pd.DataFrame(resolve(rows(left), [r | {"symbols": [list(s) for s in r["symbols"]] if r["symbols"] is not None else []} for r in rows(right)]), columns=["contract_id", "mro", "direct", "unresolved", "libraries", "is_main", "kinds"])
+        out["kinds"] = [[{"name": n, "kind": k} for n, k in ks] for ks in out["kinds"]]
+        return out
+
+    return heads.groupBy("project").cogroup(links.groupBy("project")).applyInPandas(run, RESOLVED)
 
 
 def _span(p, s: int, e: int) -> dict:
@@ -137,7 +224,7 @@ def write_target(n) -> str | None:
     return None
 
 
-def node_rows(program, scope_id: str, instances: list[dict]) -> list[dict]:
+def node_rows(program, instances: list[dict]) -> list[dict]:
     labels = program.order(instances)
     out = []
     for inst in instances:
@@ -145,15 +232,42 @@ def node_rows(program, scope_id: str, instances: list[dict]) -> list[dict]:
         place, tree = program.place(f.owner), f.tree
         taints = program.taints(f, tree, inst["env"])
         for n in (tree, *tree.walk()):
-            out.append(_row(scope_id, inst["inst"], n, place, f.owner["file"], f.id, taints.get(id(n), ()), labels.get((inst["inst"], n.pre), (0, 0, {})), program.bound_proven(n)))
+            out.append(_row(inst["inst"], n, place, f.owner["file"], f.id, taints.get(id(n), ()), labels.get((inst["inst"], n.pre), (0, 0, {}, 0, 0)), program.bound_proven(n)))
+    return out
+
+
+def guard_rows(program, f) -> list[dict]:
+    """The bodies of the modifiers that a function applies, an instance each."""
+    out = []
+    for i, m in enumerate(f.modifiers):
+        g = program.modifier(m["name"])
+        if g is not None and g.d["body"] is not None:
+            place = program.place(g.owner)
+            out += [_row(i, n, place, g.owner["file"], g.id, n.taint, (n.pre, n.pre, {}, n.pre, n.pre), False) for n in (g.tree, *g.tree.walk())]
     return out
 
 
-def _row(scope_id, inst, n, place, file, fn, taints, label, proven) -> dict:
+def texts_of(owners: list[dict], rows: list[dict], program) -> list[dict]:
+    """The whole lines that rows lie on, by file; owners are the contracts that these belong to."""
+    spans: dict[str, list[int]] = {}
+    for r in rows:
+        at = spans.setdefault(r["file"], [r["line"], r["end_line"]])
+        at[0], at[1] = min(at[0], r["line"]), max(at[1], r["end_line"])
+    out = []
+    for c in owners:
+        place = program.place(c)
+        if c["file"] in spans:
+            a, z = max(spans[c["file"]][0], place.first), min(spans[c["file"]][1], place.first + len(place.starts) - 1)
+            if a <= z:
+                out.append({"file": c["file"], "first": a, "text": place.lines(a, z)})
+    return out
+
+
+def _row(inst, n, place, file, fn, taints, label, proven) -> dict:
     up = n.parent
     held = next((a for a in n.above() if a.kind.startswith(("stmt.", "check.")) or a.kind == "decl.variable"), None)
     args = up.args() if up is not None else []
-    return {"scope_id": scope_id, "inst": inst, "pre": n.pre, "post": n.post, "parent": up.pre if up is not None else -1, "child_idx": up.kids.index(n) if up is not None else -1, "arg_idx": next((i for i, a in enumerate(args) if a is n), -1), "kind": n.kind, "name": n.name, "value": n.value, "attrs": _texts(n.attrs), "ref_kind": n.ref_kind, "taints": sorted(taints), "x": label[0], "y": label[1], "arms": list(label[2].items()), "stmt": held.pre if held is not None else -1, "stmt_post": held.post if held is not None else -1, "target": write_target(n), "proven": bool(proven), "file": file, "fn": fn} | _span(place, n.s, n.e)
+    return {"inst": inst, "pre": n.pre, "post": n.post, "parent": up.pre if up is not None else -1, "child_idx": up.kids.index(n) if up is not None else -1, "arg_idx": next((i for i, a in enumerate(args) if a is n), -1), "kind": n.kind, "name": n.name, "value": n.value, "attrs": _texts(n.attrs), "ref_kind": n.ref_kind, "taints": sorted(taints), "x": label[0], "y": label[1], "last_x": label[3], "last_y": label[4], "arms": list(label[2].items()), "stmt": held.pre if held is not None else -1, "stmt_post": held.post if held is not None else -1, "target": write_target(n), "proven": bool(proven), "file": file, "fn": fn} | _span(place, n.s, n.e)
 
 
 def contract_tree(program):
@@ -181,6 +295,51 @@ def contract_tree(program):
     return root, owner
 
 
+def call_type(program, c: dict, node, g) -> str:
+    receiver = node.attrs.get("receiver_name")
+    if receiver == "super":
+        return "super"
+    if receiver == "this":
+        return "self"
+    if g is not None and g.owner["kind"] == "library" and g.owner is not c or receiver and program.view.kinds.get(receiver) == "library":
+        return "library"
+    kind = node.kind.removeprefix("call.").split(".")[0]
+    return kind if g is None or node.kind != "call.internal" else "internal" if g.owner is c else "inherited"
+
+
+def lineage_calls(program) -> list[dict]:
+    """Edges that only this contract's order tells: where super leads from each of its bases' functions, and the base constructors its constructor runs."""
+    out, c = [], program.contract
+    for base in program.lineage[1:]:
+        for f in program.functions[base["id"]]:
+            if f.d["body"] is None:
+                continue
+            for n in f.tree.walk():
+                if n.kind.startswith("call.") and n.attrs.get("receiver_name") == "super" and (g := program.callee(f, n)) is not None:
+                    out.append({"src": f.id, "dst": g.id, "called": n.name, "type": "super", "line": program.place(base).line(n.s)})
+    for f in program.functions[c["id"]]:
+        if f.d.get("kind") == "constructor":
+            for m in f.d.get("modifiers", []):
+                base = next((b for b in program.lineage[1:] if b["name"] == m["name"].split(".")[-1]), None)
+                made = next((g for g in program.functions[base["id"]] if g.d.get("kind") == "constructor"), None) if base is not None else None
+                if made is not None:
+                    out.append({"src": f.id, "dst": made.id, "called": base["name"], "type": "constructor", "line": program.place(c).line(m["s"])})
+    return out
+
+
+def flow_rows(f, place) -> list[dict]:
+    """source, target of each assignment: what is read on its right flows into what stands on its left."""
+    from gritstone.solidity.program import targets
+
+    out = []
+    for n in f.tree.walk():
+        if n.kind == "stmt.assign" and len(n.kids) > 1:
+            read = sorted({x.name for x in (n.kids[-1], *n.kids[-1].walk()) if x.kind == "expr.identifier" and x.name and x.ref_kind})
+            written = sorted({t for k in n.kids[:-1] for t in targets(k)} | ({b.name} if n.attrs.get("is_state_var") and (b := _lvalue(n.kids[0])) is not None and b.name else set()))
+            out += [{"function_id": f.id, "source": a, "target": b, "line": place.line(n.s)} for a in read for b in written]
+    return out
+
+
 def facts(program, is_main: bool) -> dict[str, list]:
     """Every entity row that one contract gives."""
     from gritstone.solidity.keccak import selector
@@ -188,10 +347,12 @@ def facts(program, is_main: bool) -> dict[str, list]:
     c, out = program.contract, {t: [] for t in TABLES}
     place = program.place(c)
     names = [b["name"] for b in program.lineage]
+    owners = [*program.lineage, *program.libraries]
 
-    def scope(kind: str, sid: str, f=None) -> dict:
+    def scope(kind: str, sid: str, nodes: list[dict], f=None, guards: list[dict] = (), paths: list[tuple] = ()) -> None:
         at, p = (f.d, program.place(f.owner)) if f else (c, place)
-        return {"scope_id": sid, "scope": kind, "contract_id": c["id"], "contract": c["name"], "contract_kind": c["kind"], "function_id": f.id if f else None, "function": f.name if f else None, "visibility": f.visibility if f else None, "mutability": f.mutability if f else None, "modifiers": [m["name"] for m in f.modifiers] if f else [], "params": f.params if f else [], "bases": names, "controlled": program.controlled(f) if f else False, "caller_checked": bool(f) and (program.controlled(f) or program.caller_compared(f)), "is_main": is_main, "file": f.owner["file"] if f else c["file"]} | _span(p, at["s"], at["e"])
+        row = {"scope_id": sid, "scope": kind, "contract_id": c["id"], "contract": c["name"], "contract_kind": c["kind"], "function_id": f.id if f else None, "function": f.name if f else None, "visibility": f.visibility if f else None, "mutability": f.mutability if f else None, "modifiers": [m["name"] for m in f.modifiers] if f else [], "params": f.params if f else [], "bases": names, "controlled": program.controlled(f) if f else False, "caller_checked": bool(f) and (program.controlled(f) or program.caller_compared(f)), "is_main": is_main, "file": f.owner["file"] if f else c["file"]} | _span(p, at["s"], at["e"])
+        out["trees"].append(row | {"pragma": (f.owner if f else c).get("pragma", ""), "nodes": nodes, "guards": list(guards), "texts": texts_of(owners, [row, *nodes, *guards], program), "paths": [list(x) for x in paths]})
 
     for i, v in enumerate(c["vars"]):
         out["state_vars"].append({"contract_id": c["id"], "decl_idx": i, "name": v["name"], "type_name": v["type"], "visibility": v["visibility"], "is_constant": v["constant"], "is_immutable": v["immutable"], "line": place.line(v["s"])})
@@ -207,22 +368,19 @@ def facts(program, is_main: bool) -> dict[str, list]:
             line = place.line(n.s)
             if n.kind.startswith("call.") and not n.attrs.get("type_cast"):
                 g = program.callee(f, n)
-                receiver = n.attrs.get("receiver_name")
-                kind_ = "super" if receiver == "super" else "self" if receiver == "this" else n.kind.removeprefix("call.").split(".")[0] if g is None or n.kind != "call.internal" else "internal" if g.owner is c else "inherited"
-                if receiver and program.view.kinds.get(receiver) == "library":
-                    kind_ = "library"
-                out["calls"].append({"src": f.id, "dst": g.id if g else None, "called": n.name, "type": kind_, "line": line})
+                out["calls"].append({"src": f.id, "dst": g.id if g else None, "called": n.name, "type": call_type(program, c, n, g), "line": line})
             target = write_target(n)
             if target is not None:
                 how = n.attrs.get("operator") or n.kind.rpartition(".")[2]
                 out["state_writes"].append({"function_id": f.id, "var": target, "kind": {"=": "assign", "++": "increment", "--": "decrement"}.get(how, how), "line": line})
             if n.kind.startswith("check.") or n.kind == "stmt.if":
                 test = n.kids[0] if n.kids else None
-                out["guards"].append({"function_id": f.id, "kind": n.kind.rpartition(".")[2], "expr": c["text"][test.s : test.e] if test is not None else n.name, "line": line})
+                out["guards"].append({"function_id": f.id, "kind": n.kind.rpartition(".")[2], "expr": place.cut(test.s, test.e) if test is not None else n.name, "line": line})
+        out["flows"] += flow_rows(f, place)
         if not f.is_modifier:
-            sid = f"function|{c['id']}|{f.id}"
-            out["scopes"].append(scope("function", sid, f))
-            out["nodes"] += node_rows(program, sid, program.expand(f))
+            instances = program.expand(f)
+            scope("function", f"function|{c['id']}|{f.id}", node_rows(program, instances), f, guard_rows(program, f), [i["path"] for i in instances])
+    out["calls"] += lineage_calls(program)
     out["state_writes"] = [dict(t) for t in dict.fromkeys(tuple(w.items()) for w in out["state_writes"])]
     if is_main:
         seen = set()
@@ -232,36 +390,34 @@ def facts(program, is_main: bool) -> dict[str, list]:
                 continue
             seen.add(sign)
             out["entry_functions"].append({"contract_id": c["id"], "function_id": f.id, "signature": sign})
-            sid = f"entry|{c['id']}|{f.id}"
-            out["scopes"].append(scope("entry_function", sid, f))
-            out["nodes"] += node_rows(program, sid, program.expand(f))
-    sid = f"contract|{c['id']}"
-    out["scopes"].append(scope("contract", sid))
+            instances = program.expand(f)
+            scope("entry_function", f"entry|{c['id']}|{f.id}", node_rows(program, instances), f, guard_rows(program, f), [i["path"] for i in instances])
     root, owner = contract_tree(program)
-    held = c
+    held, nodes = c, []
     for n in (root, *root.walk()):
         held = owner.get(id(n), held)
-        out["nodes"].append(_row(sid, 0, n, program.place(held), held["file"], "", n.taint, (n.pre, n.pre, {}), False))
+        nodes.append(_row(0, n, program.place(held), held["file"], "", n.taint, (n.pre, n.pre, {}, n.pre, n.pre), False))
+    scope("contract", f"contract|{c['id']}", nodes)
     return out
 
 
-def build(spark: SparkSession, path: str) -> CodeDB:
-    """The code database of a file or a project folder."""
+def build(spark: SparkSession, path: str | list[str]) -> CodeDB:
+    """The code database of a file, some files or a project folder."""
     return from_units(*load(spark, path))
 
 
 def from_units(units: DataFrame, links: DataFrame) -> CodeDB:
-    contracts = cut(declarations(units))
+    """The code database of parsed files and their import links; of several projects where both name them in a column project."""
+    of_project = lambda df: df if "project" in df.columns else df.withColumn("project", F.lit(""))
+    units, links = of_project(units), of_project(links)
+    contracts = stored(declarations(units), "declarations")
     heads = contracts.drop("decl")
-    edges, unresolved, visible = resolve_bases(heads, links)
-    edges = cut(edges)
-    mro = cut(linearized(heads, edges))
-    mains = cut(heads.filter("kind = 'contract'").join(edges.select(F.col("base_id").alias("contract_id")), "contract_id", "left_anti").select("contract_id"))
-    lineage = mro.join(contracts.select(F.col("contract_id").alias("base_id"), "decl"), "base_id").groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("pos", "decl"))).alias("l"))
-    kinds = visible.groupBy("file").agg(F.collect_list(F.struct("name", "kind")).alias("kinds"))
-    programs = lineage.join(heads.select("contract_id", "file"), "contract_id").join(kinds, "file", "left").join(mains.withColumn("is_main", F.lit(True)), "contract_id", "left")
-    programs = programs.select("contract_id", F.col("l.decl").alias("decls"), "kinds", F.coalesce("is_main", F.lit(False)).alias("is_main"))
-    schema = StructType.fromDDL(", ".join(f"{t} array<struct<{','.join(x.strip().replace(' ', ':', 1) for x in _fields(d))}>>" for t, d in TABLES.items()))
+    meant = stored(resolved(heads.join(units.select(F.col("path").alias("file"), "project"), "file"), links.select("project", "file", "target", "symbols")), "resolved")
+    decls = contracts.select(F.col("contract_id").alias("base_id"), "decl")
+    parts = meant.select("contract_id", F.posexplode(F.concat(F.col("mro"), F.col("libraries"))).alias("pos", "base_id")).join(decls, "base_id")
+    lineage = parts.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("pos", "decl"))).alias("l"))
+    programs = lineage.join(meant.select("contract_id", F.size("mro").alias("bases"), "kinds", "is_main"), "contract_id").select("contract_id", F.col("l.decl").alias("decls"), "bases", "kinds", "is_main")
+    schema = StructType.fromDDL(", ".join(f"{t} array<struct<{','.join(x.strip().replace(' ', ':', 1) for x in fields(d))}>>" for t, d in TABLES.items()))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,27 +425,16 @@ def from_units(units: DataFrame, links: DataFrame) -> CodeDB:
 
         for batch in batches:
             for row in batch.to_pylist():
-                got = facts(Program([json.loads(d) for d in row["decls"]], {k["name"]: k["kind"] for k in row["kinds"] or []}), row["is_main"])
+                decls = [json.loads(d) for d in row["decls"]]
+                got = facts(Program(decls[: row["bases"]], {k["name"]: k["kind"] for k in row["kinds"] or []}, decls[row["bases"] :]), row["is_main"])
                 yield pa.RecordBatch.from_arrays([pa.array([got[t]], arrow.field(t).type) for t in TABLES], schema=arrow)
 
-    emitted = cut(programs.mapInArrow(run, schema))
+    emitted = stored(programs.mapInArrow(run, schema), "entities")
     tables = {t: emitted.select(F.explode(t).alias("r")).select("r.*") for t in TABLES}
+    tables["calls"] = tables["calls"].distinct()  # where super leads, several contracts may say alike
     troubles = units.select(F.col("path").alias("file"), F.explode("troubles").alias("t")).select(F.lit("parse").alias("code"), F.lit("warning").alias("severity"), F.col("t.message").alias("message"), "file", F.col("t.line").alias("line"))
     missing = links.filter("target is null").select(F.lit("import-unresolved").alias("code"), F.lit("warning").alias("severity"), F.col("wanted").alias("message"), "file", F.lit(0).alias("line"))
-    lost = unresolved.join(heads.select("contract_id", "file"), "contract_id").select(F.lit("base-unresolved").alias("code"), F.lit("error").alias("severity"), F.col("base").alias("message"), "file", F.lit(0).alias("line"))
-    return CodeDB(files=units.drop("unit"), contracts=heads, lineage=mro, main_contracts=mains, diagnostics=troubles.unionByName(missing).unionByName(lost).distinct(), **tables)
-
-
-def _fields(ddl: str) -> list[str]:
-    """The fields of a schema, without cutting within < >."""
-    out, depth, held = [], 0, ""
-    for ch in ddl:
-        depth += ch == "<"
-        depth -= ch == ">"
-        if ch == "," and not depth:
-            out.append(held)
-            held = ""
-        else:
-            held += ch
-    return [*out, held]
-
+    lost = meant.select("contract_id", F.explode("unresolved").alias("message")).join(heads.select("contract_id", "file"), "contract_id").select(F.lit("base-unresolved").alias("code"), F.lit("error").alias("severity"), "message", "file", F.lit(0).alias("line"))
+    mro = meant.select("contract_id", F.posexplode("mro").alias("pos", "base_id"))
+    weights = meant.select("contract_id", F.size("mro").alias("weight"))
+    return CodeDB(files=units.drop("unit"), contracts=heads.drop("mentions").join(weights, "contract_id"), lineage=mro, main_contracts=meant.filter("is_main").select("contract_id", F.size("mro").alias("weight")), diagnostics=troubles.unionByName(missing).unionByName(lost).distinct(), **tables)

@@ -1,6 +1,6 @@
 """Reading Solidity projects: pruned directory scans, imports with remappings, and the closure of what a project needs.
 
-Listing, parsing and the closure are DataFrame work; only remapping files, a few lines each, are read on the driver.
+Reading and parsing are DataFrame work; the driver holds paths, and reads remapping files of a few lines each.
 """
 
 from __future__ import annotations
@@ -11,27 +11,37 @@ import posixpath
 import re
 import tomllib
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.operators.graph import cut, reached
+from gritstone.operators.storage import stored
 
 PRUNED = ("node_modules", "out", "artifacts", "cache", "forge-cache", "test", "tests", "script", "scripts", "lib", "mock", "mocks", "broadcast", "coverage", "typechain", "typechain-types", "deployments", "logs", "dependencies")
 MARKERS = {"foundry.toml": "foundry", "hardhat.config.js": "hardhat", "hardhat.config.ts": "hardhat", "truffle-config.js": "truffle", "remappings.txt": "remappings"}
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, raw of every .sol file at or under a path."""
+    """path of every .sol file at or under a path; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sol").load(path)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path")).distinct()
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, raw of the given files."""
+    files = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("content").alias("raw")).dropDuplicates(["path"])
 
 
-def pruned(files: DataFrame, root: str) -> DataFrame:
-    """Without files in hidden folders or those that hold dependencies, tests and build products."""
-    inner = F.substring("path", len(root.rstrip("/")) + 2, 1 << 20)
-    return files.filter(~inner.rlike(r"(^|/)(\.[^/]*|" + "|".join(map(re.escape, PRUNED)) + ")/"))
+_SKIPPED = re.compile(r"(^|/)(\.[^/]*|" + "|".join(map(re.escape, PRUNED)) + ")/")
+
+
+def kept(path: str, root: str) -> bool:
+    """Whether a file under the root lies in no hidden folder nor one that holds dependencies, tests or build products."""
+    return not _SKIPPED.search(path[len(root.rstrip("/")) + 1 :])
 
 
 def parse_remappings(lines: str) -> list[tuple[str, str, str]]:
@@ -75,6 +85,16 @@ def project_root(path: str) -> str:
         at = os.path.dirname(at)
 
 
+def file_url(info: dict[str, str], root: str, path: str) -> str:
+    """The web page of a file at the commit (else the branch) that was read; empty where the remote isn't known."""
+    at = info["commit"] or info["branch"]
+    if not info["remote"] or not at:
+        return ""
+    inner = posixpath.relpath(path, root)
+    how = "src" if "bitbucket." in info["remote"] else "-/blob" if "gitlab" in info["remote"] else "blob"
+    return f"{info['remote']}/{how}/{at}/{quote(inner)}"
+
+
 def git_info(root: str) -> dict[str, str]:
     """remote, branch and commit as the folder's .git has them, without running git."""
     out = {"remote": "", "branch": "", "commit": ""}
@@ -95,6 +115,14 @@ def git_info(root: str) -> dict[str, str]:
     return out
 
 
+#: What frameworks map without being told: prefix and target.
+USUAL = {
+    "foundry": (("@openzeppelin/contracts-upgradeable/", "lib/openzeppelin-contracts-upgradeable/contracts/"), ("@openzeppelin/contracts/", "lib/openzeppelin-contracts/contracts/"), ("openzeppelin-contracts/", "lib/openzeppelin-contracts/"), ("forge-std/", "lib/forge-std/src/"), ("ds-test/", "lib/ds-test/src/"), ("solmate/", "lib/solmate/src/"), ("solady/", "lib/solady/src/")),
+    "hardhat": (("@", "node_modules/@"),),
+    "truffle": (("@", "node_modules/@"),),
+}
+
+
 def candidates(wanted: str, file: str, root: str, maps: list[tuple[str, str, str]]) -> list[str]:
     """Where an import may lie, best first."""
     if wanted.startswith("."):
@@ -104,6 +132,12 @@ def candidates(wanted: str, file: str, root: str, maps: list[tuple[str, str, str
     fit.sort(key=lambda m: (-len(m[0]), -len(m[1])))
     out = [posixpath.normpath(posixpath.join(root, m[2] + wanted[len(m[1]) :])) for m in fit]
     first, _, rest = wanted.partition("/")
+    near = posixpath.dirname(file)
+    while near.startswith(root) and near != root:  # a project within the project, nearest first
+        if any(os.path.exists(f"{near}/{m}") for m in MARKERS):
+            out += [f"{near}/node_modules/{wanted}", f"{near}/lib/{wanted}", f"{near}/{wanted}"]
+        near = posixpath.dirname(near)
+    out += [posixpath.normpath(posixpath.join(root, target + wanted[len(prefix) :])) for prefix, target in USUAL.get(framework(root), ()) if wanted.startswith(prefix)]
     out += [f"{root}/node_modules/{wanted}", f"{root}/lib/{wanted}", f"{root}/lib/{first}/src/{rest}", f"{root}/lib/{first}/contracts/{rest}", f"{root}/{wanted}", wanted]
     return [posixpath.normpath(p) for p in out]
 
@@ -131,17 +165,30 @@ def parsed(files: DataFrame, root: str, maps: list[tuple[str, str, str]]) -> Dat
     return files.select("path", "raw", F.sha2("raw", 256).alias("checksum")).mapInPandas(run, UNIT)
 
 
-def load(spark: SparkSession, path: str, maps: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(units, links): the parsed files of a project with all they import, and their imports as file, wanted, target (null where nothing was found), alias, symbols."""
-    path = os.path.abspath(path)
-    root = project_root(path)
-    every = listing(spark, root if os.path.isdir(path) else os.path.dirname(path))
-    units = cut(parsed(every, root, remappings(root) if maps is None else maps))
+def load(spark: SparkSession, path: str | list[str], maps: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(units, links): the parsed files of a file, some files or a project folder with all they import, and their imports as file, wanted,
+    target (null where nothing was found), alias, symbols.
+
+    Only paths are listed at first; a file is read and parsed once it is known to be needed, those that one round of imports
+    names together. The driver holds paths alone."""
+    given = [os.path.abspath(p) for p in ([path] if isinstance(path, str) else path)]
+    root = project_root(given[0])
+    maps = remappings(root) if maps is None else maps
+    known = {r[0] for r in listing(spark, root if any(map(os.path.isdir, given)) else os.path.dirname(given[0])).collect()}
+    known |= {p for p in given if os.path.isfile(p)}
+    wave = {p for g in given for p in ([g] if os.path.isfile(g) else [p for p in known if p.startswith(g.rstrip("/") + "/") and kept(p, g)])}
+    seen: set[str] = set()
+    rounds = []
+    while wave:
+        seen |= wave
+        rounds.append(stored(parsed(contents(spark, sorted(wave)), root, maps), "units"))
+        places = rounds[-1].select(F.explode("imports").alias("i")).select("i.places").distinct().collect()
+        wave = {next((p for p in r[0] if p in known or os.path.isfile(p)), None) for r in places} - {None} - seen
+        known |= wave
+    if not rounds:
+        raise FileNotFoundError(f"no Solidity files in {path}")
+    units = reduce(DataFrame.unionByName, rounds)
     imports = units.select(F.col("path").alias("file"), F.explode("imports").alias("i")).select("file", "i.*")
     tries = imports.select("file", "wanted", F.posexplode("places").alias("n", "place"))
-    found = tries.join(units.select(F.col("path").alias("place")), "place").groupBy("file", "wanted").agg(F.min_by("place", "n").alias("target"))
-    links = imports.drop("places").join(found, ["file", "wanted"], "left")
-    own = units.select("path").filter(F.col("path") == path) if os.path.isfile(path) else pruned(units.select("path"), path).filter(F.col("path").startswith(path.rstrip("/") + "/"))
-    need = reached(links.filter("target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst")), own.select(F.col("path").alias("node")))
-    kept = units.join(need.select(F.col("node").alias("path")), "path", "left_semi")
-    return kept, links.join(need.select(F.col("node").alias("file")), "file", "left_semi")
+    target = tries.join(units.select(F.col("path").alias("place")), "place").groupBy("file", "wanted").agg(F.min_by("place", "n").alias("target"))
+    return units, imports.drop("places").join(target, ["file", "wanted"], "left")

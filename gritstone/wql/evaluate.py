@@ -27,6 +27,9 @@ _GROUPS = {
     "selfdestruct": ["call.builtin.selfdestruct", "asm.selfdestruct"],
     "check": ["check.require", "check.assert", "check.revert"],
 }
+#: What a finding says of its place, and all of its columns.
+FINDING = ("file", "contract", "function", "fn", "line", "col", "end_line", "end_col", "begin_byte", "end_byte", "primary_kind", "primary_name", "related", "path")
+finding_rows = ("template_id", "severity", "confidence", "title", "message", *FINDING)
 _EXISTS = ("has", "in", "arg_any", "statement_has", "left", "right", "args", "seq")
 _CALLS = ("call.", "check.", "stmt.emit", "stmt.state_mutation", "asm.")
 
@@ -180,7 +183,7 @@ class Nodes:
     def sequence(self, steps: list[dict]) -> DataFrame:
         """scope_id, inst, pre (first witness), at (inst of the witness): step i + 1 may run after step i, isn't part of it, and all can run in one go."""
         inlined = not any(map(_sensitive, steps))
-        columns = ("inst", "pre", "post", "x", "y", "arms")
+        columns = ("inst", "pre", "post", "x", "y", "last_x", "last_y", "arms")
         found = None
         for i, step in enumerate(steps):
             s = self.match(step).select("scope_id", F.struct(*columns).alias(f"s{i}"))
@@ -188,7 +191,7 @@ class Nodes:
                 found = s
                 continue
             a, b = F.col(f"s{i - 1}"), F.col(f"s{i}")
-            before = (b["x"] < a["x"]) & (b["y"] < a["y"])
+            before = (b["last_x"] < a["x"]) & (b["last_y"] < a["y"])
             inside = (a["inst"] == b["inst"]) & (b["pre"] >= a["pre"]) & (b["pre"] <= a["post"])
             ok = ~before & ~inside
             if not inlined:
@@ -306,8 +309,8 @@ class Engine:
 
     def _located(self, sites: DataFrame) -> DataFrame:
         n = self.db.nodes.select(*KEY, "kind", "name", "value", "file", "fn", "line", "col", "end_line", "end_col", "begin_byte", "end_byte")
-        s = self.db.scopes.select("scope_id", "contract_id", "contract", "function", "function_id")
-        return sites.join(n, KEY).join(s, "scope_id")
+        s = self.db.trees.select("scope_id", "contract", "function", "paths")
+        return sites.join(n, KEY).join(s, "scope_id").withColumn("path", F.coalesce(F.try_element_at("paths", F.col("inst") + 1), F.array().cast("array<string>"))).drop("paths")
 
     def run(self, t: Template) -> DataFrame:
         """Findings of one template."""
@@ -325,25 +328,35 @@ class Engine:
             rows = first_branch(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per), ["file", "begin_byte", "end_byte", "kind"], "branch")
         else:
             rows = self._located(self.sites(q)).withColumn("related", self._none())
+        return self._told(rows, t)
+
+    @staticmethod
+    def _told(rows: DataFrame, t: Template) -> DataFrame:
         fixed = {"template_id": t.id, "severity": t.severity, "confidence": t.confidence, "title": t.title, "message": t.message}
         named = F.when(F.col("name") != "", F.col("name")).otherwise(F.col("value"))
-        return rows.select(*[F.lit(v).alias(k) for k, v in fixed.items()], "file", "contract", "function", "fn", "line", "col", "end_line", "end_col", "begin_byte", "end_byte", F.col("kind").alias("primary_kind"), named.alias("primary_name"), "related")
+        return rows.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *[c for c in FINDING if c not in ("primary_kind", "primary_name")], F.col("kind").alias("primary_kind"), named.alias("primary_name")).select(*finding_rows)
+
+    def source_findings(self, t: Template, q: Query) -> DataFrame:
+        """Findings of a query of source texts."""
+        return self._told(self._source(q), t)
 
     @staticmethod
     def _none() -> Column:
         return F.array().cast("array<struct<branch:int,file:string,line:int,col:int,kind:string,name:string>>")
 
     def _source(self, q: Query) -> DataFrame:
-        got = spans(self.db.files.select("path", "content"), "content", q.match["regex"])
-        rows = got.select(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), F.col("begin"), F.col("end"), "match", "content" if "content" in got.columns else F.lit("").alias("content"))
-        inner = self.db.functions.select(F.col("file").alias("__f"), "name", "contract_id", "function_id", F.col("line").alias("__a"), F.col("end_line").alias("__z"))
-        hit = rows.join(inner, (F.col("file") == F.col("__f")) & (F.col("line") >= F.col("__a")) & (F.col("line") <= F.col("__z")), "left")
-        hit = hit.dropDuplicates(["file", "begin", "end"])
+        """A row for each match; of the functions around it the one with the smallest span."""
+        rows = spans(self.db.files.select(F.col("path").alias("file"), "content"), "content", q.match["regex"]).withColumn("key", F.struct("file", "begin", "end"))
+        inner = self.db.functions.select("file", F.col("name").alias("function"), "contract_id", "function_id", F.col("line").alias("a"), F.col("end_line").alias("z")).distinct()
+        held = rows.join(inner, "file").filter("line >= a and line <= z").groupBy("key").agg(F.min(F.struct(F.col("z") - F.col("a"), F.col("function_id"), F.col("contract_id"), F.col("function"))).alias("x"))
+        hit = rows.join(held, "key", "left")
         lines = F.size(F.split("match", "\n"))
-        return hit.select(F.lit(None).cast("string").alias("scope_id"), "file", F.element_at(F.split("contract_id", "#"), -1).alias("contract"), "contract_id", F.col("name").alias("function"), F.col("function_id"), F.coalesce("function_id", F.lit("")).alias("fn"), "line", "col", (F.col("line") + lines - 1).cast("int").alias("end_line"), (F.col("col") + F.length("match")).cast("int").alias("end_col"), F.col("begin").cast("int").alias("begin_byte"), F.col("end").cast("int").alias("end_byte"), F.lit("source").alias("kind"), F.col("match").alias("name"), F.lit("").alias("value")).withColumn("related", self._none())
+        whole = {"line": F.col("line"), "col": F.col("col"), "end_line": F.col("line") + lines - 1, "end_col": F.col("col") + F.length("match"), "begin_byte": F.col("begin"), "end_byte": F.col("end")}
+        texts = {"scope_id": F.lit(None), "contract": F.element_at(F.split("x.contract_id", "#"), -1), "contract_id": F.col("x.contract_id"), "function": F.col("x.function"), "function_id": F.col("x.function_id"), "fn": F.coalesce("x.function_id", F.lit("")), "kind": F.lit("source"), "name": F.col("match"), "value": F.lit("")}
+        return hit.select("file", *[v.cast("int").alias(k) for k, v in whole.items()], *[v.cast("string").alias(k) for k, v in texts.items()], F.array().cast("array<string>").alias("path")).withColumn("related", self._none())
 
     def findings(self, templates: list[Template]) -> DataFrame:
-        """All templates' findings; a site found through several entries counts once."""
+        """All templates' findings, a job of joins for each; ``scan`` finds the same in one pass."""
         if not templates:
             raise ValueError("no templates")
         rows = reduce(DataFrame.unionByName, [self.run(t) for t in templates])

@@ -14,7 +14,7 @@ from pathlib import Path
 
 import yaml
 
-from gritstone.functions.text import to_java
+from gritstone.functions.text import to_java, version_constraint
 
 GROUPS = ("any_call", "outgoing_call", "delegatecall", "eth_transfer", "selfdestruct", "check", "state_write", "state_read")
 _PLAIN = {
@@ -114,8 +114,10 @@ def kind_of(name) -> str:
 
 def version_text(value) -> str:
     value = _text("version", value)
-    if not re.fullmatch(r"\s*(>=|<=|>|<|=|==|!=|\^|~)?\s*v?\d+(\.\d+){0,2}\s*", value):
-        raise TemplateError(f"version {value!r} can't be compared")
+    try:
+        version_constraint(value)
+    except ValueError as e:
+        raise TemplateError(f"version: {e}") from e
     return value
 
 
