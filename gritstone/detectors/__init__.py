@@ -1,9 +1,22 @@
-"""The detectors that come with the library."""
+"""The detectors: each says what goes wrong, in terms that they share."""
 
-from pathlib import Path
+from __future__ import annotations
 
-from gritstone.wql.rules import Template, load
+from gritstone.detectors.catalogue import DETECTORS, PROBES
+from gritstone.wql.rules import SEVERITIES, Template, parse
+
+__all__ = ["pack", "probes"]
+
+
+def _ordered(texts: list[str]) -> list[Template]:
+    return sorted(map(parse, texts), key=lambda t: (SEVERITIES.index(t.severity), t.id))
 
 
 def pack() -> list[Template]:
-    return load(str(Path(__file__).with_name("pack.yaml")))[0]
+    """All detectors, worst first."""
+    return _ordered(DETECTORS)
+
+
+def probes() -> list[Template]:
+    """Templates that show single features of the language at work, not bugs."""
+    return _ordered(PROBES)
