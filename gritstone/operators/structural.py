@@ -1,4 +1,4 @@
-"""Structural operators on interval-labelled trees: each is a semi or anti join with an equality on the tree, so it runs as a hash or merge join.
+"""Structural operators on interval-labelled trees: sweeps along a tree for ancestors and descendants, joins with an equality for children.
 
 A node has its tree (``root``), ``pre`` (depth-first number) and ``post`` (largest ``pre`` below it); d is below a when a.pre < d.pre <= a.post.
 """
@@ -7,33 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def _interval(outer: str, inner: str, root: Sequence[str]) -> Column:
-    same = F.lit(True)
-    for c in root:
-        same &= F.col(f"{outer}.{c}") == F.col(f"{inner}.{c}")
-    return same & (F.col(f"{inner}.pre") > F.col(f"{outer}.pre")) & (F.col(f"{inner}.pre") <= F.col(f"{outer}.post"))
-
-
-def has(nodes: DataFrame, inner: DataFrame, root: Sequence[str] = ("root",)) -> DataFrame:
-    """Nodes with at least one strict descendant in ``inner``."""
-    return nodes.alias("o").join(inner.alias("i"), _interval("o", "i", root), "left_semi")
+def _along(root: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*root).orderBy("pre")
 
 
-def has_not(nodes: DataFrame, inner: DataFrame, root: Sequence[str] = ("root",)) -> DataFrame:
-    return nodes.alias("o").join(inner.alias("i"), _interval("o", "i", root), "left_anti")
+def has(inner: Column, root: Sequence[str] = ("root",)) -> Column:
+    """Whether a node has a strict descendant that ``inner`` holds for: the next such node on the way through the tree lies within its span.
 
+    One sweep of all nodes of a tree in order decides it for each: no join, and nodes that are sorted already aren't again."""
+    later = _along(root).rowsBetween(1, Window.unboundedFollowing)
+    return F.coalesce(F.min(F.when(inner, F.col("pre"))).over(later) <= F.col("post"), F.lit(False))
 
-def inside(nodes: DataFrame, outer: DataFrame, root: Sequence[str] = ("root",)) -> DataFrame:
-    """Nodes with at least one strict ancestor in ``outer``."""
-    return nodes.alias("i").join(outer.alias("o"), _interval("o", "i", root), "left_semi")
 
-
-def inside_not(nodes: DataFrame, outer: DataFrame, root: Sequence[str] = ("root",)) -> DataFrame:
-    return nodes.alias("i").join(outer.alias("o"), _interval("o", "i", root), "left_anti")
+def inside(outer: Column, root: Sequence[str] = ("root",)) -> Column:
+    """Whether a node has a strict ancestor that ``outer`` holds for: of such nodes before it, the span that reaches farthest reaches it."""
+    earlier = _along(root).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.when(outer, F.col("post"))).over(earlier) >= F.col("pre"), F.lit(False))
 
 
 def first_descendant(nodes: DataFrame, inner: DataFrame, keys: Sequence[str], carry: Sequence[str], root: Sequence[str] = ("root",)) -> DataFrame:
@@ -60,6 +53,4 @@ def any_child(parents: DataFrame, *witnesses: DataFrame, key: str) -> DataFrame:
 
 def interval_tree(levels: DataFrame, root: str, order: Sequence[str | Column]) -> DataFrame:
     """Add pre to rows that are sorted within their tree by ``order``; a root's own row must sort first."""
-    from pyspark.sql import Window
-
     return levels.withColumn("pre", F.row_number().over(Window.partitionBy(root).orderBy(*order)) - 1)

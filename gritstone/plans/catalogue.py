@@ -93,14 +93,15 @@ def _tree(t: Tables) -> DataFrame:
 @query(f"WITH {_TREE} SELECT a.root, a.key, a.pre::BIGINT AS pre FROM tree a WHERE a.kind = 'order' AND EXISTS (SELECT 1 FROM tree d WHERE d.root = a.root AND d.pre > a.pre AND d.pre <= a.post AND d.kind = 'line' AND d.name = 'R' AND d.q > 45)")
 def has_descendant(t: Tables) -> DataFrame:
     n = _tree(t)
-    return structural.has(n.filter("kind = 'order'"), n.filter("kind = 'line' and name = 'R' and q > 45").select("root", "pre")).select("root", "key", F.col("pre").cast("bigint").alias("pre"))
+    found = structural.has(F.expr("kind = 'line' and name = 'R' and q > 45"))
+    return n.withColumn("found", found).filter("kind = 'order' and found").select("root", "key", F.col("pre").cast("bigint").alias("pre"))
 
 
 @query(f"WITH {_TREE} SELECT d.root, d.key, d.pre::BIGINT AS pre FROM tree d WHERE d.kind = 'line' AND d.q > 40 AND EXISTS (SELECT 1 FROM tree a WHERE d.root = a.root AND d.pre > a.pre AND d.pre <= a.post AND a.kind = 'order' AND a.name = 'F') AND EXISTS (SELECT 1 FROM tree a WHERE d.root = a.root AND d.pre > a.pre AND d.pre <= a.post AND a.kind = 'customer' AND a.name = 'BUILDING')")
 def in_ancestor(t: Tables) -> DataFrame:
     n = _tree(t)
-    hit = structural.inside(n.filter("kind = 'line' and q > 40"), n.filter("kind = 'order' and name = 'F'").select("root", "pre", "post"))
-    return structural.inside(hit, n.filter("kind = 'customer' and name = 'BUILDING'").select("root", "pre", "post")).select("root", "key", F.col("pre").cast("bigint").alias("pre"))
+    held = n.withColumn("of_f", structural.inside(F.expr("kind = 'order' and name = 'F'"))).withColumn("of_b", structural.inside(F.expr("kind = 'customer' and name = 'BUILDING'")))
+    return held.filter("kind = 'line' and q > 40 and of_f and of_b").select("root", "key", F.col("pre").cast("bigint").alias("pre"))
 
 
 @query(f"WITH {_TREE} SELECT a.root, min(d.pre)::BIGINT AS first_pre, arg_min(d.key, d.pre) AS first_order FROM tree a JOIN tree d ON d.root = a.root AND d.pre > a.pre AND d.pre <= a.post WHERE a.kind = 'customer' AND d.kind = 'line' AND d.q >= 50 GROUP BY a.root")
@@ -206,21 +207,21 @@ def unchecked_guard(t: Tables) -> DataFrame:
     return rows.filter((F.col("event_type") == "purchase") & ~((F.coalesce("before", F.lit("")) == "view") & (F.col("bound") >= F.col("value")))).select("event_id", "user_id")
 
 
-# --- graphs: parts that follow each other in an order call each other ------------------------------------------------
+# --- graphs: parts that follow each other in an order call each other, parts of size 1 are entries ------------------------------------------------
 
-_EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey < b.l_partkey)"
+_EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
 def _edges(t: Tables) -> DataFrame:
     a = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"))
     b = t.lineitem.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
-    return a.join(b, ["k", "n"]).filter("src < dst").select("src", "dst").distinct()
+    return a.join(b, ["k", "n"]).select("src", "dst").distinct()
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, walk(origin, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 1 AND p_type = 'SMALL' UNION SELECT w.origin, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 10)
+@query(f"""WITH RECURSIVE {_EDGES}, walk(origin, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT w.origin, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 10)
 SELECT origin, node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1, 2""")
 def closure_bfs(t: Tables) -> DataFrame:
-    seeds = t.part.filter("p_size = 1 and p_type = 'SMALL'").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
+    seeds = t.part.filter("p_size = 1").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
     return graph.reach(graph.cut(_edges(t)), seeds, 10)
 
 
@@ -229,14 +230,14 @@ def call_chain_depth(t: Tables) -> DataFrame:
     return graph.reached(graph.cut(_edges(t)), t.part.agg(F.min("p_partkey").alias("node")), 10)
 
 
-_NEXT = "step AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events), edges AS (SELECT DISTINCT src, dst FROM step WHERE dst IS NOT NULL AND after > value AND src < dst OR (src = 'view' AND dst = 'error'))"
+_NEXT = "step AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events), edges AS (SELECT DISTINCT src, dst FROM step WHERE dst IS NOT NULL AND after > value)"
 
 
 @query(f"WITH RECURSIVE {_NEXT}, walk(origin, node) AS (SELECT src, dst FROM edges UNION SELECT w.origin, e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT DISTINCT node FROM walk WHERE origin = node")
 def has_cycle(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     step = t.events.select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), "value", F.lead("value").over(w).alias("after"))
-    return graph.in_cycle(step.filter("dst is not null and after > value and src < dst or (src = 'view' and dst = 'error')").select("src", "dst").distinct())
+    return graph.in_cycle(step.filter("dst is not null and after > value").select("src", "dst").distinct())
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, f(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT e.dst FROM f JOIN edges e ON e.src = f.node), b(node) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT e.src FROM b JOIN edges e ON e.dst = b.node)
@@ -275,10 +276,11 @@ def mro_first_wins(t: Tables) -> DataFrame:
     return compose.first_wins(t.part, ["p_name", "p_type"], F.desc("p_size"), "p_partkey").select("p_name", "p_type", "p_partkey", "p_brand")
 
 
-@query(f"WITH {_EDGES} SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = p_partkey)")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def main_not_inherited(t: Tables) -> DataFrame:
-    mains = t.part.join(_edges(t), F.col("dst") == F.col("p_partkey"), "left_anti").select("p_partkey", "p_size")
-    return ordered(mains, F.desc("p_size"), F.asc("p_partkey"), name="place")
+    inherited = t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey")
+    mains = t.orders.join(inherited, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", "o_totalprice")
+    return ordered(mains, F.desc("o_totalprice"), F.asc("o_orderkey"), name="place")
 
 
 @query("SELECT s_nationkey, p_type, arg_min(s_suppkey, (-s_acctbal, s_suppkey)) AS implementation FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -295,10 +297,10 @@ def set_diff_added_removed(t: Tables) -> DataFrame:
     return compose.difference(t.orders.filter(F.col("o_orderdate") < cut), t.orders.filter(F.col("o_orderdate") >= cut), ["o_custkey", "o_orderpriority"])
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, entries AS (SELECT p_partkey FROM part WHERE p_size = 1 AND p_type = 'SMALL'), walk(origin, node) AS (SELECT p_partkey, p_partkey FROM entries UNION SELECT w.origin, e.dst FROM walk w JOIN edges e ON e.src = w.node),
+@query(f"""WITH RECURSIVE {_EDGES}, entries AS (SELECT p_partkey FROM part WHERE p_size = 1), walk(origin, node) AS (SELECT p_partkey, p_partkey FROM entries UNION SELECT w.origin, e.dst FROM walk w JOIN edges e ON e.src = w.node),
 writes AS (SELECT p_partkey AS writer, p_brand AS var FROM part WHERE p_size = 50) SELECT var, count(DISTINCT writer) AS writers, count(DISTINCT origin) AS entries, string_agg(DISTINCT origin::VARCHAR, ',' ORDER BY origin::VARCHAR) AS entry_list FROM writes JOIN walk ON node = writer GROUP BY 1""")
 def state_matrix(t: Tables) -> DataFrame:
-    seeds = t.part.filter("p_size = 1 and p_type = 'SMALL'").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
+    seeds = t.part.filter("p_size = 1").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
     writes = t.part.filter("p_size = 50").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("var"))
     got = graph.reach(graph.cut(_edges(t)), seeds).join(writes, "node")
     return got.groupBy("var").agg(F.count_distinct("node").alias("writers"), F.count_distinct("origin").alias("entries"), F.array_join(F.array_sort(F.collect_set(F.col("origin").cast("string"))), ",").alias("entry_list"))
