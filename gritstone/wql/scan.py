@@ -333,7 +333,6 @@ def scan(db: CodeDB, templates: list[Template]) -> DataFrame:
     """The findings of all templates, as the relational engine gives them."""
     if not templates:
         raise ValueError("no templates")
-    engine = Engine(db)
     queries = [b for t in templates for b in (t.query.branches or (t.query,))]
     wanted = sorted({"contract" if q.scope in _CONTRACTS else q.scope for q in queries} - {"source"})
     read = any(reads_source(q.match) or any("context_regex" in x for x in walk(q.context)) for q in queries)
@@ -371,10 +370,10 @@ def scan(db: CodeDB, templates: list[Template]) -> DataFrame:
     for k in either:
         t = templates[k]
         per = [named.filter(F.col("t") == k)] if any(b.scope != "source" for b in t.query.branches) else []
-        per += [engine.source_findings(t, b).withColumn("branch", F.lit(i)) for i, b in enumerate(t.query.branches) if b.scope == "source"]
+        per += [Engine(db).source_findings(t, b).withColumn("branch", F.lit(i)) for i, b in enumerate(t.query.branches) if b.scope == "source"]
         one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per)
         parts.append(first_branch(one, ["file", "begin_byte", "end_byte", "primary_kind"], "branch").select(*finding_rows))
-    parts += [engine.source_findings(t, t.query).select(*finding_rows) for t in templates if t.query.scope == "source" and not t.query.branches]
+    parts += [Engine(db).source_findings(t, t.query).select(*finding_rows) for t in templates if t.query.scope == "source" and not t.query.branches]
     return reduce(DataFrame.unionByName, parts)
 
 
