@@ -99,8 +99,12 @@ def database(of: DataFrame) -> CodeDB:
     return CodeDB(**dict.fromkeys(CodeDB.__dataclass_fields__) | {"trees": of})
 
 
+#: What a query shows of a finding, as SQL expressions.
+SHOWN = ("cast(coalesce(function, contract) as bigint) as scope", "line as place", "primary_kind as kind")
+
+
 def shown(findings: DataFrame) -> DataFrame:
-    return findings.select(F.coalesce("function", "contract").cast("bigint").alias("scope"), F.col("line").alias("place"), F.col("primary_kind").alias("kind"))
+    return findings.selectExpr(*SHOWN)
 
 
 def _add(name: str, body: str, sql: str) -> None:

@@ -17,7 +17,7 @@ def trees(spark, sf_dir, tmp_path_factory):
 def found(trees):
     """All templates in one pass."""
     findings = scan(eq.database(trees), list(eq.TEMPLATES.values()))
-    rows = eq.shown(findings).withColumn("id", findings.template_id).toPandas()
+    rows = findings.selectExpr(*eq.SHOWN, "template_id").toPandas().rename(columns={"template_id": "id"})
     return dict(tuple(rows.groupby("id")))
 
 
