@@ -1,3 +1,3 @@
 """Gritstone: code and corpus analytics on Spark DataFrames."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -132,13 +132,14 @@ def candidates(wanted: str, file: str, root: str, maps: list[tuple[str, str, str
     fit.sort(key=lambda m: (-len(m[0]), -len(m[1])))
     out = [posixpath.normpath(posixpath.join(root, m[2] + wanted[len(m[1]) :])) for m in fit]
     first, _, rest = wanted.partition("/")
+    out += [posixpath.normpath(posixpath.join(root, target + wanted[len(prefix) :])) for prefix, target in USUAL.get(framework(root), ()) if wanted.startswith(prefix)]
+    out += [f"{root}/node_modules/{wanted}", f"{root}/lib/{wanted}", f"{root}/lib/{first}/src/{rest}", f"{root}/lib/{first}/contracts/{rest}"]
     near = posixpath.dirname(file)
     while near.startswith(root) and near != root:  # a project within the project, nearest first
         if any(os.path.exists(f"{near}/{m}") for m in MARKERS):
             out += [f"{near}/node_modules/{wanted}", f"{near}/lib/{wanted}", f"{near}/{wanted}"]
         near = posixpath.dirname(near)
-    out += [posixpath.normpath(posixpath.join(root, target + wanted[len(prefix) :])) for prefix, target in USUAL.get(framework(root), ()) if wanted.startswith(prefix)]
-    out += [f"{root}/node_modules/{wanted}", f"{root}/lib/{wanted}", f"{root}/lib/{first}/src/{rest}", f"{root}/lib/{first}/contracts/{rest}", f"{root}/{wanted}", wanted]
+    out += [f"{root}/{wanted}", wanted]
     return [posixpath.normpath(p) for p in out]
 
 
