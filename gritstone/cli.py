@@ -18,6 +18,7 @@ from gritstone.detectors import pack
 from gritstone.plans import extract
 from gritstone.report import documents
 from gritstone.report import findings as report
+from gritstone.ship import ship
 from gritstone.solidity.codedb import CodeDB, build
 from gritstone.sources import project
 from gritstone.wql import rules
@@ -144,6 +145,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if made:
         b = SparkSession.builder.appName("gritstone")
         spark = (b.master(a.master) if a.master else b).getOrCreate()
+        ship(spark)
     try:
         if a.command == "scan":
             return run_scan(spark, a)

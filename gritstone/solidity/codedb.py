@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gritstone.operators.storage import stored
+from gritstone.operators.storage import spread, stored
 from gritstone.sources.project import load
 
 def fields(ddl: str) -> list[str]:
@@ -415,7 +415,7 @@ def from_units(units: DataFrame, links: DataFrame) -> CodeDB:
     meant = stored(resolved(heads.join(units.select(F.col("path").alias("file"), "project"), "file"), links.select("project", "file", "target", "symbols")), "resolved")
     decls = contracts.select(F.col("contract_id").alias("base_id"), "decl")
     parts = meant.select("contract_id", F.posexplode(F.concat(F.col("mro"), F.col("libraries"))).alias("pos", "base_id")).join(decls, "base_id")
-    lineage = parts.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("pos", "decl"))).alias("l"))
+    lineage = spread(parts, "contract_id").groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("pos", "decl"))).alias("l"))
     programs = lineage.join(meant.select("contract_id", F.size("mro").alias("bases"), "kinds", "is_main"), "contract_id").select("contract_id", F.col("l.decl").alias("decls"), "bases", "kinds", "is_main")
     schema = StructType.fromDDL(", ".join(f"{t} array<struct<{','.join(x.strip().replace(' ', ':', 1) for x in fields(d))}>>" for t, d in TABLES.items()))
     arrow = to_arrow_schema(schema)

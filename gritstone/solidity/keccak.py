@@ -1,5 +1,7 @@
 """Keccak-256 as it was before the SHA-3 padding, for function selectors."""
 
+from functools import lru_cache
+
 _ROUND = (0x1, 0x8082, 0x800000000000808A, 0x8000000080008000, 0x808B, 0x80000001, 0x8000000080008081, 0x8000000000008009, 0x8A, 0x88, 0x80008009, 0x8000000A, 0x8000808B, 0x800000000000008B, 0x8000000000008089, 0x8000000000008003, 0x8000000000008002, 0x8000000000000080, 0x800A, 0x800000008000000A, 0x8000000080008081, 0x8000000000008080, 0x80000001, 0x8000000080008008)
 _MASK = (1 << 64) - 1
 
@@ -42,5 +44,6 @@ def keccak256(data: bytes) -> bytes:
     return b"".join(a[i % 5][i // 5].to_bytes(8, "little") for i in range(4))
 
 
+@lru_cache(maxsize=1 << 16)
 def selector(signature: str) -> str:
     return "0x" + keccak256(signature.encode())[:4].hex()

@@ -142,42 +142,16 @@ class Tree:
         return got
 
     def _decide(self, r: dict, i: int) -> bool:
-        c = self.c
-        if "kind" in r and not self.is_kind(i, r["kind"]) or "name" in r and not self.named(i, r["name"]):
-            return False
-        if not all(self.attribute(i, k, v) for k, v in r.get("attrs", {}).items()):
-            return False
-        if "tainted" in r and not ({"parameter", "sender"} if r["tainted"] == "user_controlled" else {r["tainted"]}) & set(c.taints[i] or ()):
-            return False
-        if r.get("unchecked") and c.proven[i]:
-            return False
-        for k in ("visibility", "mutability"):
-            if k in r and (self.attrs(i).get(k) or "").lower() not in r[k]:
-                return False
-        if "regex" in r and not found_in(self.lines(c.file[i], c.line[i], c.end_line[i]), r["regex"]):
-            return False
-        if any(not any(self.holds(b, i) for b in branches) for branches in r.get("any", [])):
-            return False
-        if any(self.holds(sub, i) for sub in r.get("not", [])) or not all(self.holds(sub, i) for sub in r.get("all", [])):
-            return False
-        if not all(self.within(sub, c.inst[i], c.pre[i], c.post[i]) for sub in r.get("has", [])):
-            return False
-        if not all(c.stmt[i] >= 0 and self.within(sub, c.inst[i], c.stmt[i], c.stmt_post[i]) for sub in r.get("statement_has", [])):
-            return False
-        if not all(any(self.holds(sub, a) for a in self.above(i)) for sub in r.get("in", [])):
+        return all(_TESTS[key](self, value, i) for key, value in r.items())
+
+    def _in_attrs(self, key: str, wanted: list[str], i: int) -> bool:
+        return (self.attrs(i).get(key) or "").lower() in wanted
+
+    def _an_argument(self, tests: list[tuple[int | None, dict]], i: int) -> bool:
+        if not self.c.kind[i].startswith(_CALLS):
             return False
-        for side, sub in ((0, r.get("left")), (1, r.get("right"))):
-            if sub is not None and not self.side(i, sub, side):
-                return False
-        if r.get("args") or r.get("arg_any"):
-            if not c.kind[i].startswith(_CALLS):
-                return False
-            kids = self.children.get(i, ())
-            if not all(any(c.arg_idx[k] == n and self.holds(sub, k) for k in kids) for n, sub in r.get("args", {}).items()):
-                return False
-            if not all(any(c.arg_idx[k] >= 0 and self.holds(sub, k) for k in kids) for sub in r.get("arg_any", [])):
-                return False
-        return all(any(root == c.inst[i] for root, _, _ in self.sequence(steps)) for steps in r.get("seq", []))
+        kids, place = self.children.get(i, ()), self.c.arg_idx
+        return all(any((place[k] == n if n is not None else place[k] >= 0) and self.holds(sub, k) for k in kids) for n, sub in tests)
 
     def matches(self, r: dict) -> list[int]:
         got = self._found.get(id(r))
@@ -269,6 +243,30 @@ class Tree:
         return sorted(x for x in (self.anchors(q.match, roots) if roots else ()) if not (hidden and x[0]))
 
 
+#: What each part of a rule asks of a node.
+_TESTS = {
+    "kind": lambda t, v, i: t.is_kind(i, v),
+    "name": lambda t, v, i: t.named(i, v),
+    "attrs": lambda t, v, i: all(t.attribute(i, k, want) for k, want in v.items()),
+    "tainted": lambda t, v, i: not {"parameter", "sender"}.isdisjoint(t.c.taints[i] or ()) if v == "user_controlled" else v in (t.c.taints[i] or ()),
+    "unchecked": lambda t, v, i: not t.c.proven[i],
+    "visibility": lambda t, v, i: t._in_attrs("visibility", v, i),
+    "mutability": lambda t, v, i: t._in_attrs("mutability", v, i),
+    "regex": lambda t, v, i: found_in(t.lines(t.c.file[i], t.c.line[i], t.c.end_line[i]), v),
+    "any": lambda t, v, i: all(any(t.holds(b, i) for b in branches) for branches in v),
+    "not": lambda t, v, i: not any(t.holds(sub, i) for sub in v),
+    "all": lambda t, v, i: all(t.holds(sub, i) for sub in v),
+    "has": lambda t, v, i: all(t.within(sub, t.c.inst[i], t.c.pre[i], t.c.post[i]) for sub in v),
+    "statement_has": lambda t, v, i: t.c.stmt[i] >= 0 and all(t.within(sub, t.c.inst[i], t.c.stmt[i], t.c.stmt_post[i]) for sub in v),
+    "in": lambda t, v, i: all(any(t.holds(sub, a) for a in t.above(i)) for sub in v),
+    "left": lambda t, v, i: t.side(i, v, 0),
+    "right": lambda t, v, i: t.side(i, v, 1),
+    "args": lambda t, v, i: t._an_argument(list(v.items()), i),
+    "arg_any": lambda t, v, i: t._an_argument([(None, sub) for sub in v], i),
+    "seq": lambda t, v, i: all(any(root == t.c.inst[i] for root, _, _ in t.sequence(steps)) for steps in v),
+}
+
+
 def context(r: dict, scope: dict, tree: Tree, guards: Tree) -> bool:
     again = lambda x: context(x, scope, tree, guards)
     modifiers = scope["modifiers"] or []
@@ -314,7 +312,9 @@ def findings_of(tree: Tree, guards: Tree, scope: dict, paths: list[list[str]], t
         return (c.file[i], scope["contract"], scope["function"], c.fn[i], c.line[i], c.col[i], c.end_line[i], c.end_col[i], c.begin_byte[i], c.end_byte[i], c.kind[i], c.name[i] or c.value[i], list(way))
 
     def sites(q: Query) -> list[tuple[int, int]]:
-        return tree.sites(q) if in_scope(q, scope) and context(q.context, scope, tree, guards) else []
+        if not in_scope(q, scope) or q.select is not None and not tree.candidates(q.match):
+            return []
+        return tree.sites(q) if context(q.context, scope, tree, guards) else []
 
     for k, t in enumerate(templates):
         q = t.query

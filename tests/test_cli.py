@@ -2,6 +2,10 @@
 
 import hashlib
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from test_engine import FILES
@@ -118,3 +122,12 @@ def test_places_to_look_for_imports(tmp_path):
     assert got[0] == f"{root}/lib/openzeppelin-contracts/contracts/A.sol" and f"{root}/packages/inner/node_modules/@openzeppelin/contracts/A.sol" in got
     assert project.candidates("../A.sol", f"{root}/src/B.sol", root, []) == [f"{root}/A.sol"]
     assert codedb.fields("a int, b map<string,int>, c struct<x:int,y:int>") == ["a int", " b map<string,int>", " c struct<x:int,y:int>"]
+
+
+def test_it_runs_from_any_folder(root, tmp_path):
+    """As a process of its own, in a folder that doesn't have the package: executors get it from the driver."""
+    home = Path(__file__).resolve().parent.parent
+    code = f"import sys; sys.path.insert(0, {str(home)!r}); from gritstone.cli import main; sys.exit(main(['--master', 'local[2]', 'scan', {str(root)!r}, '-o', 'f.json']))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert json.loads((tmp_path / "f.json").read_text())
