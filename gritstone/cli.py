@@ -2,6 +2,7 @@
 
     python -m gritstone scan PROJECT [-o FOLDER | FILE.sarif|.json|.md|.html] [--templates PATH] [--min-severity high] ...
     python -m gritstone build PROJECT -o DATABASE
+    python -m gritstone templates ARCHIVE.zip
     python -m gritstone extract main|entry|inheritance|statevar|selector|source|context|workflow|involve|bundle|diff ...
 """
 
@@ -14,6 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gritstone import home
 from gritstone.detectors import pack
 from gritstone.plans import extract
 from gritstone.report import documents
@@ -50,6 +52,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--include", action="append", help="glob over template ids")
     c.add_argument("--exclude", action="append")
     c.add_argument("--fail-on", help="exit with 1 if there are findings of at least this severity")
+    c = commands.add_parser("templates", help="install templates from a zip file, to be used where scan isn't told others")
+    c.add_argument("archive")
     c = commands.add_parser("build")
     sources(c)
     c.add_argument("--json", action="store_true", help="JSON lines in place of Parquet")
@@ -141,6 +145,20 @@ def answer(db: CodeDB, a: argparse.Namespace) -> DataFrame | dict:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    try:
+        if a.command == "templates":
+            print(home.install(a.archive))
+            return 0
+        kept = home.Config.load()
+    except (OSError, ValueError) as e:
+        print(f"gritstone: {e}", file=sys.stderr)
+        return 2
+    if a.command == "scan":
+        own = home.folder() / "templates"
+        a.templates = a.templates or kept.templates or (str(own) if own.is_dir() else None)
+        a.min_severity = a.min_severity or kept.min_severity or None
+    if hasattr(a, "strict_imports"):
+        a.strict_imports = a.strict_imports or kept.strict_imports
     made = spark is None
     if made:
         b = SparkSession.builder.appName("gritstone")

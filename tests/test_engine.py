@@ -109,6 +109,9 @@ def test_what_is_read(db, root):
     assert files == {"src/Vault.sol", "src/Base.sol", "vendor/lib/Maths.sol"}
     assert {(r.code, r.message) for r in db.diagnostics.collect()} == {("import-unresolved", "./missing.sol")}
     assert [r.name for r in extract.inheritance(db, "Vault").collect()] == ["Vault", "Other", "Base", "Root"]
+    done = {r.function_id.split("#")[1]: r for r in extract.effects(db).collect()}
+    assert done["Vault.pay(address,uint256)"].controlled is True and {w.var for w in done["Vault._book(address,uint256)"].writes} == {"shares", "total"}
+    assert {r.source for r in extract.flows_into(db, "held").collect()} == {"a"}
     assert {r.name: r.weight for r in db.contracts.collect()}["Vault"] == 4
 
 
