@@ -26,12 +26,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gritstone.llm import kernels
-from gritstone.llm.common import arrow_batches, keyed, table
+from gritstone.llm.common import TEXT_ROWS, arrow_batches, keyed, table
 
 BUCKETS, FIT_ROWS, TOP, LEAST_TAIL = 1 << 18, 10_000, 2, 0.4
 #: LEAST_TAIL is the highest tenth that keeps 99 % of clean documents held out of sf0.1 (three folds together, by doc_id % 3).
@@ -219,50 +218,58 @@ def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, grades:
 
     # The sample is bounded by fit_rows, so it may be broadcast.
     texts = keyed(docs, F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("rated")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "grade", "text")
-    got = arrow_batches(texts, rows, "doc_id bigint, grade int, place array<int>, value array<float>, words array<bigint>").toArrow().combine_chunks()
+    got = arrow_batches(texts, rows, "doc_id bigint, grade int, place array<int>, value array<float>, words array<bigint>").toArrow()
     if got.num_rows == 0:
         return None
-    got = got.sort_by([("doc_id", "ascending")]).combine_chunks()
-    place, value, words = (got.column(c).combine_chunks() for c in ("place", "value", "words"))
+    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
     grade = got.column("grade").to_numpy()
-    order, of = ((x.offsets.to_numpy() - x.offsets[0].as_py()).astype(np.int64) for x in (place, words))
-    word, text = words.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(grade)), np.diff(of))
+    words = got.column("words").combine_chunks()
+    got = got.drop_columns(["words"])  # what is large is let go as soon as it was used: the driver is small
+    of = np.diff(words.offsets.to_numpy())
+    word, text = words.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(grade), dtype=np.int32), of)
     marks = markers(word, grade[text], np.bincount(grade, minlength=grades), least_documents)
-    rows_of = with_markers(order, place.flatten().to_numpy(), value.flatten().to_numpy(), marks.strongest(word, text, len(grade)))
+    strongest = marks.strongest(word, text, len(grade))
+    del words, word, text
+    place, value = (got.column(c).combine_chunks() for c in ("place", "value"))
+    order = (place.offsets.to_numpy() - place.offsets[0].as_py()).astype(np.int64)
+    rows_of = with_markers(order, place.flatten().to_numpy(), value.flatten().to_numpy(), strongest)
+    del got, place, value
     return replace(fit(*rows_of, grade, grades, least_documents=least_documents), markers=marks)
 
 
-def scores(docs: DataFrame, model: Ordinal | None, grades: int = TOP + 1) -> DataFrame:
-    """The given columns as c0, c1, ... (names of any kind are the caller's), then grade (expected) and tail, P(grade is the top one)."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    text = names[[c.lower() for c in docs.columns].index("text")]
+def scored(text: Column, model: Ordinal | None, grades: int = TOP + 1) -> Column:
+    """grade (expected) and tail, P(grade is the top one), of a text. Only the text goes to Python and only two numbers come back."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = kernels.buffers(batch.column(text).cast(pa.string()))
-            expected, tail = np.zeros(len(batch)), np.zeros(len(batch))
-            for a, b, bounds, place, value, word, owner in text_words(raw, off):
-                some = np.flatnonzero(np.diff(bounds))
-                if model is None:
-                    expected[a + some], tail[a + some] = grades - 1, 1.0
-                elif len(some):
-                    marked = model.weights[MARKER] * model.markers.strongest(word, owner, b - a)
-                    p = model.tails(np.add.reduceat(model.weights[place] * value, bounds[:-1][some]) + marked[some])
-                    expected[a + some], tail[a + some] = p.sum(1), p[:, -1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(tail)], [*names, "grade", "tail"])
-
-    plain = docs.toDF(*names)
-    return arrow_batches(plain, judge, T.StructType([*plain.schema.fields, T.StructField("grade", T.DoubleType()), T.StructField("tail", T.DoubleType())]))
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            expected, tail = np.zeros(len(whole)), np.zeros(len(whole))
+            for start in range(0, len(whole), TEXT_ROWS):
+                raw, off = kernels.buffers(whole.slice(start, TEXT_ROWS))
+                for a, _, bounds, place, value, word, owner in text_words(raw, off):
+                    some = np.flatnonzero(np.diff(bounds))
+                    at = start + a + some
+                    if model is None:
+                        expected[at], tail[at] = grades - 1, 1.0
+                    elif len(some):
+                        marked = model.weights[MARKER] * model.markers.strongest(word, owner, len(bounds) - 1)
+                        p = model.tails(np.add.reduceat(model.weights[place] * value, bounds[:-1][some]) + marked[some])
+                        expected[at], tail[at] = p.sum(1), p[:, -1]
+            yield pa.StructArray.from_arrays([pa.array(expected), pa.array(tail)], ["grade", "tail"])
+
+    # Of several readers of the result none may make Spark judge a text twice.
+    return F.arrow_udf(judge, "grade double, tail double").asNondeterministic()(text.cast("string"))
 
 
 def graded(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """doc_id, expected_grade, tail_probability of every document."""
-    return scores(keyed(docs, "text"), model).select(F.col("c0").alias("doc_id"), F.col("grade").alias("expected_grade"), F.col("tail").alias("tail_probability"))
+    judged = keyed(docs, scored(F.col("text"), model).alias("p"))
+    return judged.select("doc_id", F.col("p.grade").alias("expected_grade"), F.col("p.tail").alias("tail_probability"))
 
 
 def select(docs: DataFrame, model: Ordinal | None, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """The documents whose tail probability reaches ``least_tail``, with all their columns."""
-    return scores(docs.filter(F.col("doc_id").isNotNull()), model).filter(F.col("tail") >= least_tail).drop("grade", "tail").toDF(*docs.columns)
+    """The documents whose tail probability reaches ``least_tail``, with all their columns, whatever their names."""
+    judged = docs.filter(F.col("doc_id").isNotNull()).select(F.struct("*").alias("row"), scored(F.col("text"), model).alias("p"))
+    return judged.filter(F.col("p.tail") >= least_tail).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
