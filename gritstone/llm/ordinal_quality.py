@@ -56,6 +56,12 @@ LINES = np.arange(256, dtype=np.uint8)
 LINES[[0, 10, 13]] = 0
 
 
+def _repeats(run: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the runs start that equal the one before them in the same text."""
+    text = np.searchsorted(offsets, at, "right")
+    return at[1:][(run[1:] == run[:-1]) & (text[1:] == text[:-1])]
+
+
 def features(raw: np.ndarray, offsets: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (bounds, place, value): unit length, 1 + log count; a text without any token is an empty row. words: its runs of words, if they are known."""
     texts = len(offsets) - 1
@@ -64,7 +70,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, words: tuple[np.ndarray, np.n
     upper = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90), dtype=np.int32)])
     loud = (size > 1) & ((upper[at + size] - upper[at]) * 5 >= size * 4)
     line, line_at, _ = kernels.runs(raw, offsets, LINES)
-    echo, again = at[1:][word[1:] == word[:-1]], line_at[1:][line[1:] == line[:-1]]
+    echo, again = _repeats(word, at, offsets), _repeats(line, line_at, offsets)
     h = np.concatenate([word, mark ^ _CAPS, np.full(int(loud.sum()), _CAPS), np.full(len(echo), _ECHO), np.full(len(again), _LINE)])
     owner = np.searchsorted(offsets, np.concatenate([at, mark_at, at[loud], echo, again]), "right") - 1
     key, count = np.unique((owner.astype(np.int64) << 18) | (kernels.mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)

@@ -54,6 +54,12 @@ def test_gradient_descends_to_a_minimum():
             assert loss(moved, bounds, place, value, grade) > loss(long, bounds, place, value, grade) - 1e-4
 
 
+def test_repeats_end_with_their_text():
+    """The last word or line of one text and the first of the next are no repetition."""
+    one, two = (oq.features(*kernels.buffers(pa.array(t))) for t in (["same word"], ["a word", "word", "word"]))
+    assert np.diff(two[0]).tolist() == [2, 1, 1] and np.diff(one[0]).tolist() == [2]
+
+
 def test_features_are_the_same_in_any_batch():
     texts = [prose(50, i) for i in range(5)] + ["", None, "WOW!! WOW!!", prose(40_000, 7)]
     raw, off = kernels.buffers(pa.array(texts))
