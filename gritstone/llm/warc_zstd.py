@@ -79,12 +79,12 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b""
 
 
-def archive(name: str, records: list[bytes], level: int = LEVEL) -> Iterator[bytes]:
+def archive(name: str, records: list[bytes], level: int = LEVEL, date: str = DATE) -> Iterator[bytes]:
     """The archive's members: the dictionary's frame, the warcinfo record, and each record. Their concatenation is the file."""
     words = build_dictionary(records)
     yield struct.pack("<II", MAGIC, len(words)) + words
     press = zstandard.ZstdCompressor(level=level, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-    for record in (info(name), *records):
+    for record in (info(name, date), *records):
         yield press.compress(record)
 
 
@@ -105,8 +105,10 @@ def read(data: bytes) -> Iterator[bytes]:
         at = len(data) - len(one.unused_data)
 
 
-def frames(pages: DataFrame, prefix: str = "pages", archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
-    """archive, member, byte_offset, page_id, raw_bytes, frame: member 0 is the dictionary, 1 the warcinfo, the rest are records."""
+def frames(pages: DataFrame, prefix: str = "pages", archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str = DATE, date_column: str | None = None) -> DataFrame:
+    """archive, member, byte_offset, page_id, raw_bytes, frame: member 0 is the dictionary, 1 the warcinfo, the rest are records.
+
+    A record's date is that of its row's ``date_column`` (a timestamp), where one is named and not null, else ``date``."""
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -115,9 +117,9 @@ def frames(pages: DataFrame, prefix: str = "pages", archive_bytes: int = ARCHIVE
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, ids, records, held
             name = f"{prefix}-{part:06d}-{number:04d}.warc.zst"
-            owner, size = [None, None, *ids], [0, len(info(name)), *map(len, records)]
+            owner, size = [None, None, *ids], [0, len(info(name, date)), *map(len, records)]
             at, rows = 0, []
-            for i, frame in enumerate(archive(name, records, level)):
+            for i, frame in enumerate(archive(name, records, level, date)):
                 rows.append((name, i, at, owner[i], size[i], frame))
                 at += len(frame)
                 if i == len(size) - 1 or len(rows) == 2000:
@@ -126,20 +128,21 @@ def frames(pages: DataFrame, prefix: str = "pages", archive_bytes: int = ARCHIVE
             number, ids, records, held = number + 1, [], [], 0
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                ids.append(row[0])
-                records.append(response(*row))
+            for page_id, url, html, at in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "at")), strict=True):
+                ids.append(page_id)
+                records.append(response(page_id, url, html, at or date))
                 held += len(records[-1])
                 if held >= archive_bytes:
                     yield from close()
         if records:
             yield from close()
 
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    at = F.lit(None).cast("string") if date_column is None else F.date_format(F.to_utc_timestamp(F.col(date_column), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), at.alias("at"))
     return arrow_batches(rows, press, "archive string, member int, byte_offset bigint, page_id bigint, raw_bytes bigint, frame binary")
 
 
-def write(pages: DataFrame, folder: str, prefix: str = "pages", archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
+def write(pages: DataFrame, folder: str, prefix: str = "pages", archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str = DATE, date_column: str | None = None) -> DataFrame:
     """Write the archives into ``folder`` (any URI that pyarrow's file systems know); gives archive, records, bytes.
 
     Each file is written under a name of its task's attempt and moved into place, so a lost executor leaves no half archive."""
@@ -169,7 +172,7 @@ def write(pages: DataFrame, folder: str, prefix: str = "pages", archive_bytes: i
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "records", "bytes"])
 
-    return arrow_batches(frames(pages, prefix, archive_bytes, level), save, "archive string, records bigint, bytes bigint")
+    return arrow_batches(frames(pages, prefix, archive_bytes, level, date, date_column), save, "archive string, records bigint, bytes bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

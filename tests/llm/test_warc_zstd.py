@@ -72,3 +72,9 @@ def test_table_is_written_whole(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = [r for a in archives(wz.frames(pages)).values() for r in list(wz.read(a))[1:]]
     assert sorted(got) == sorted(wz.response(*r) for r in pages.select("page_id", "url", "html").collect())
+
+
+def test_dates(spark):
+    pages = spark.sql("select cast(1 as bigint) page_id, 'u' url, 'h' html, timestamp '2024-05-06 07:08:09' at union all select 2, 'v', 'i', null")
+    records = [r for a in archives(wz.frames(pages, date="2023-01-01T00:00:00Z", date_column="at")).values() for r in wz.read(a)]
+    assert sorted(r.split(b"WARC-Date: ")[1][:20] for r in records) == [b"2023-01-01T00:00:00Z"] * (len(records) - 1) + [b"2024-05-06T07:08:09Z"]
