@@ -48,3 +48,31 @@ def test_awkward(spark):
     got = {tuple(x) for x in tk.top_k(df, 3).collect()}
     assert got == {(1, 1, 2, 0.0), (1, 2, 8, 0.0), (2, 1, 1, 0.0), (2, 2, 8, 0.0), (8, 1, 1, 0.0), (8, 2, 2, 0.0)}
     assert tk.top_k(df.filter("false"), 3).count() == 0
+
+
+def test_lists_are_not_shuffled(spark):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(200, 4)))], "vec_id long, embedding array<double>")
+    plan = tk.top_k(df, 3, 20, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroups" not in plan  # the query tiles alone
+
+
+def test_few_pairs_are_multiplied_in_double_precision(monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(8000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, again = np.arange(8000), []
+    once = tk.Lists.again
+    monkeypatch.setattr(tk.Lists, "again", lambda self, at, query, *rest: again.append(len(query)) or once(self, at, query, *rest))
+    lists = tk.Lists(ids[:500], v[:500], 10)
+    for a in range(0, 8000, 1000):
+        lists.meet(ids[a : a + 1000], v[a : a + 1000], v[a : a + 1000].astype(np.float32))
+    assert sum(again) < 0.02 * 500 * 8000
+
+
+def test_scores_closer_than_single_precision(spark):
+    r = np.random.default_rng(4)
+    for spread in (3e-4, 3e-3, 0.0):
+        vectors = r.normal(size=16) + spread * r.normal(size=(400, 16))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        assert {tuple(x) for x in tk.top_k(df, 5, 90, 2).collect()} == by_hand(range(400), vectors, 5)
