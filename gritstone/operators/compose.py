@@ -28,9 +28,14 @@ def all_in_scope(scope: str, *sets: DataFrame, item: str) -> DataFrame:
 
 
 def first_branch(rows: DataFrame, site: Sequence[str], branch: str) -> DataFrame:
-    """Of matches at one site only those of its first branch stay; repeats within that branch do too."""
-    low = F.min(branch).over(Window.partitionBy(*site))
-    return rows.withColumn("__low", low).filter(F.col(branch) == F.col("__low")).drop("__low")
+    """Of matches at one site only those of its first branch stay; repeats within that branch do too.
+
+    Sites that several branches share are counted out first, so rows aren't brought together by site: one that most rows share is no single task. The rows are read twice."""
+    shared = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in site]).agg(F.min(branch).alias("__low"), F.max(branch).alias("__high")).filter("__low < __high").drop("__high")
+    on = F.col(branch) > F.col("__low")
+    for c in site:
+        on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(shared, on, "left_anti")
 
 
 def difference(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
