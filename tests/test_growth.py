@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same
 
-from gritstone.operators import compose
+from gritstone.operators import compose, graph
 from gritstone.plans import engine_queries as eq
 from gritstone.wql.scan import needs
 
@@ -38,3 +38,17 @@ def test_nodes_have_the_fields_that_a_template_reads(spark, sf_dir):
     assert held("wql_state_write") == {"inst", "pre", "kind", "line", "target", "parent", "child_idx", "name", "value", "attrs"}
     assert held("wql_query_or") == {"inst", "pre", "kind", "line", "target", "file", "begin_byte", "end_byte"}
     assert {"taints", "arms", "arg_idx"} < held("wql_sequence_3")
+
+
+def test_reach_carries_many_origins_in_a_row(spark, monkeypatch):
+    """300 origins that share a chain: more than a block, and an edge carries a block at a time. Null is a node that leads nowhere."""
+    tables, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: tables.append((name, stored(df, name))) or tables[-1][1])
+    edges = spark.createDataFrame([(i, 1000) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(11)] + [(1003, None), (None, 5), (1002, 1000)], "src long, dst long")
+    seeds = spark.createDataFrame([(i, i) for i in range(300)] + [(None, None), (7, 8)], "origin long, node long")
+    got = sorted(((r.origin, r.node, r.depth) for r in graph.reach(edges, seeds).collect()), key=str)
+    want = {(o, 1000 + i): 1 + i for o in range(300) for i in range(12)} | {(o, o): 0 for o in range(300)} | {(o, None): 5 for o in range(300)} | {(7, 8): 0, (None, None): 0}
+    assert got == sorted(((*k, d) for k, d in want.items()), key=str)
+    assert max(df.count() for name, df in tables if name == "reached") < 700
+    assert sorted({r.depth for r in graph.reach(edges, seeds, 3).collect()}) == [0, 1, 2, 3]
+    assert graph.reach(edges, seeds.limit(0)).count() == 0
