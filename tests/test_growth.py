@@ -1,10 +1,12 @@
 """What keeps queries in proportion to their input: small rows in shuffles, no task for a whole hot key, nothing done twice."""
 
+import pyarrow as pa
 import pytest
 from compare import assert_same
 
 from gritstone.operators import compose, graph
 from gritstone.plans import engine_queries as eq
+from gritstone.wql import scan
 from gritstone.wql.scan import needs
 
 
@@ -52,3 +54,14 @@ def test_reach_carries_many_origins_in_a_row(spark, monkeypatch):
     assert max(df.count() for name, df in tables if name == "reached") < 700
     assert sorted({r.depth for r in graph.reach(edges, seeds, 3).collect()}) == [0, 1, 2, 3]
     assert graph.reach(edges, seeds.limit(0)).count() == 0
+
+
+def test_rules_without_a_kind_look_at_what_their_branches_name():
+    """Of all nodes of a scope, each of which was asked for every branch before."""
+    kinds = ["decl.function", "stmt.assign", "expr.identifier", "expr.literal", "expr.binary_op"]
+    batch = pa.RecordBatch.from_pydict({"nodes_pre": [[0, 1, 2, 3, 4]], "nodes_inst": [[0] * 5], "nodes_kind": [kinds], "nodes_target": [[None, "bal", None, None, None]]})
+    tree = scan.Tree(scan.Columns(batch, "nodes", ["inst", "kind", "pre", "target"]), 0, [])
+    rule = {"any": [[{"kind": "stmt.assign"}, {"kind": "expr.binary_op"}]]}
+    assert list(tree.candidates(rule)) == tree.matches(rule) == [1, 4]
+    assert tree.matches({"any": [[{"kind": "state_write"}, {"not": [{"kind": "expr.literal"}]}]]}) == [0, 1, 2, 4]
+    assert list(tree.candidates({"any": [[{"kind": "stmt.assign"}, {"name": "a"}], [{"kind": "expr.literal"}]]})) == [3]
